@@ -9,13 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.llm.bpe import encode_decode
+from tomewright.llm.buckets import batches
 from tomewright.llm.common import table
 from tomewright.llm.licenses import scan_licenses
+from tomewright.llm.packing import pack_tokens
+from tomewright.llm.pii import scan_pii
+from tomewright.llm.quality import quality
 from tomewright.llm.shard import shard_by_bytes
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_tokens(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batches(table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_pii(table(spark, sf_dir, "documents")).drop("pieces")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=40)
     return out.select(
@@ -32,4 +52,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_sharding, op9_license_scan, op10_bpe)}
+    listed = (op2_token_output, op3_packing, op6_pii, op7_quality, op8_sharding, op9_license_scan, op10_bpe)
+    return {f.__name__: f for f in listed}
