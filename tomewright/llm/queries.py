@@ -16,6 +16,7 @@ from tomewright.llm.packing import pack_tokens
 from tomewright.llm.pii import scan_pii
 from tomewright.llm.quality import quality
 from tomewright.llm.shard import shard_by_bytes
+from tomewright.llm.vectors import near_vectors
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -28,6 +29,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches(table(spark, sf_dir, "documents"))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_pii(table(spark, sf_dir, "documents")).drop("pieces")
 
@@ -52,5 +57,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op2_token_output, op3_packing, op6_pii, op7_quality, op8_sharding, op9_license_scan, op10_bpe)
+    listed = (op2_token_output, op3_packing, op4_vectors, op6_pii, op7_quality, op8_sharding, op9_license_scan, op10_bpe)
     return {f.__name__: f for f in listed}
