@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tomewright.llm.bpe import encode_decode
 from tomewright.llm.buckets import batches
 from tomewright.llm.common import table
+from tomewright.llm.jaccard import jaccard_groups
 from tomewright.llm.licenses import scan_licenses
 from tomewright.llm.packing import pack_tokens
 from tomewright.llm.pii import scan_pii
@@ -33,6 +34,10 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_pii(table(spark, sf_dir, "documents")).drop("pieces")
 
@@ -57,5 +62,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op2_token_output, op3_packing, op4_vectors, op6_pii, op7_quality, op8_sharding, op9_license_scan, op10_bpe)
+    listed = (op2_token_output, op3_packing, op4_vectors, op5_jaccard, op6_pii, op7_quality, op8_sharding, op9_license_scan, op10_bpe)
     return {f.__name__: f for f in listed}
