@@ -16,12 +16,17 @@ from tomewright.llm.licenses import scan_licenses
 from tomewright.llm.packing import pack_tokens
 from tomewright.llm.pii import scan_pii
 from tomewright.llm.quality import quality
+from tomewright.llm.repeats import remove_repeats
 from tomewright.llm.shard import shard_by_bytes
 from tomewright.llm.vectors import near_vectors
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_tokens(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
@@ -62,5 +67,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op2_token_output, op3_packing, op4_vectors, op5_jaccard, op6_pii, op7_quality, op8_sharding, op9_license_scan, op10_bpe)
+    listed = (op1_suffix_dedup, op2_token_output, op3_packing, op4_vectors, op5_jaccard, op6_pii, op7_quality, op8_sharding, op9_license_scan, op10_bpe)
     return {f.__name__: f for f in listed}
