@@ -165,9 +165,14 @@ def confident_patterns(found: DataFrame, shared: Shared, rounds: int, least: flo
     return best
 
 
-def scan_pii(
-    docs: DataFrame, rounds: int = 3, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def _discovered(table: DataFrame, shared: Shared, rounds: int, least: float) -> DataFrame:
+    """(row, kind, start, end) of tokens that no finder knew."""
+    patterns = confident_patterns(table, shared, rounds, least)
+    each = table.select("row", F.explode("found").alias("m")).select("row", "m.*").where("kind is null").drop("kind")
+    return each.join(patterns, "pattern").select("row", "kind", "start", "end")
+
+
+def scan_pii(docs: DataFrame, rounds: int = 3, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and pieces.
 
     The counts are of base spans. ``spans`` has the base spans, the secrets found
@@ -177,13 +182,9 @@ def scan_pii(
     pattern needs the evidence of four seeds at ``least`` = 0.8.
     """
     shared = Shared(docs.sparkSession)
-    table = shared.keep(find(docs, id_col, text_col)).withColumn("row", F.monotonically_increasing_id())
-    table = shared.keep(table)
-    patterns = confident_patterns(table, shared, rounds, least)
-    each = table.select("row", F.explode("found").alias("m")).select("row", "m.*")
-    unseen = each.where("kind is null").drop("kind").join(patterns, "pattern")
-    seen = each.where("kind is not null")
-    spans = seen.select("row", "kind", "start", "end").unionByName(unseen.select("row", "kind", "start", "end"))
+    table = shared.keep(find(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    seen = table.select("row", F.explode("found").alias("m")).select("row", "m.kind", "m.start", "m.end").where("kind is not null")
+    spans = seen.unionByName(_discovered(table, shared, rounds, least))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     lists = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(order.alias("k"), "start", "end", "kind"))).alias("pieces"))
     text_of = F.transform("pieces", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"]))
@@ -191,31 +192,37 @@ def scan_pii(
     return out.withColumn("spans", F.coalesce(F.array_join(text_of, ","), F.lit("")))
 
 
-def masked(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each found span in ``text`` replaced by its kind in angle
-    brackets; all other columns and rows as they are. Needs ids that are unique;
-    rows whose id is null keep their text unless a fixed finder matches."""
-    found = scan_pii(docs, **options).where("doc_id is not null and pieces is not null").select("doc_id", "pieces")
+def masked(docs: DataFrame, rounds: int = 3, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with each span in the text replaced by its kind in angle brackets;
+    all other columns and all rows as they are. What the finders know is found
+    again in the row itself; only discovered spans are joined, by id: they are
+    masked in each row that has the id, if the row's text holds them there."""
+    shared = Shared(docs.sparkSession)
+    table = shared.keep(find(docs, id_col, text_col).select("doc_id", "found").withColumn("row", F.monotonically_increasing_id()))
+    new = _discovered(table, shared, rounds, least).join(table.select("row", "doc_id"), "row").where("doc_id is not null")
+    new = new.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "end", "kind")).alias("_new"))
+    place = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("text")
-            new = []
-            for text, pieces in zip(b.column(at), b.column(b.schema.get_field_index("_pieces")), strict=True):
-                new.append(mask(text.as_py(), pieces.as_py()))
-            cols = [pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns)]
-            keep = [i for i, n in enumerate(b.schema.names) if n != "_pieces"]
-            yield pa.RecordBatch.from_arrays([cols[i] for i in keep], names=[b.schema.names[i] for i in keep])
-
-    joined = docs.join(found.select("doc_id", F.col("pieces").alias("_pieces")), "doc_id", "left").select(*docs.columns, "_pieces")
+            texts = []
+            for text, more in zip(b.column(place), b.column(b.num_columns - 1), strict=True):
+                text = text.as_py()
+                if text:
+                    known = [m for m in mentions(text, base_spans(text)) if m["kind"]]
+                    text = mask(text, known + [m for m in more.as_py() or [] if m["end"] <= len(text)])
+                texts.append(text)
+            cols = list(b.columns[:-1])
+            cols[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+
+    joined = docs.join(new, docs[f"`{id_col}`"].cast("long") == new["_id"], "left").drop("_id")
     return joined.mapInArrow(cut, docs.schema)
 
 
-def mask(text: str | None, pieces: list[dict] | None) -> str | None:
-    if text is None or not pieces:
-        return text
+def mask(text: str, spans: list[dict]) -> str:
     out, end = [], 0
-    for p in sorted(pieces, key=lambda p: (p["start"], -p["end"])):
+    for p in sorted(spans, key=lambda p: (p["start"], -p["end"])):
         if p["start"] >= end:
             out += [text[end : p["start"]], f"<{p['kind']}>"]
         end = max(end, p["end"])

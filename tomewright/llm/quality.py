@@ -100,6 +100,7 @@ def quality(
     most_repeated: int = 30,
     id_col: str = "doc_id",
     text_col: str = "text",
+    whole_rows: bool = False,
 ) -> DataFrame:
     """A row for each of ``docs`` with the rule counts, score and verdict.
 
@@ -109,6 +110,8 @@ def quality(
     score reaches ``threshold``. A null text has no words, so it fails. The
     trusted multinomial is fitted on at most ``most_trusted`` labelled documents,
     the raw one and all else on every document. Equal rows get equal results.
+    ``whole_rows`` adds the row of ``docs`` itself as the struct ``row``, so that
+    a filter needs no join.
     """
     texts = id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     shared = Shared(docs.sparkSession)
@@ -118,7 +121,15 @@ def quality(
     text = F.col("text")
     words, hashes = hashed_words(text)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    carried = ["row"] if whole_rows else []
+    if whole_rows:
+        texts = docs.select(
+            F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+            F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        )
     one = texts.select(
+        *carried,
         "doc_id",
         hashes.alias("hashes"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
@@ -134,6 +145,7 @@ def quality(
     total = F.aggregate(grams(F.col("hashes"), n_buckets), F.lit(0).cast("long"), lambda acc, b: acc + F.get(table, b.cast("int")))
     repeated = F.when(F.size("windows") > F.size(F.array_distinct("windows")), covered_words(F.col("windows"))).otherwise(F.lit(0).cast("long"))
     out = two.select(
+        *carried,
         "doc_id",
         n.cast("long").alias("n_words"),
         "word_chars",
@@ -141,7 +153,11 @@ def quality(
         "n_dup_lines",
         repeated.alias("n_repeat_words"),
         total.alias("total"),
+        F.monotonically_increasing_id().alias("place"),
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     per_gram = F.when(F.col("n_words") > 0, F.col("total") / (2 * F.col("n_words") - 1) / SCALE).otherwise(F.lit(0.0))
-    return out.withColumn("base_failed", failed).withColumn("score", per_gram).withColumn("kept", ~failed & (F.col("score") >= threshold)).drop("total")
+    # the row's place keeps a later filter on the verdict above these steps; pushed
+    # below them it would evaluate whole arrays anew for each of their elements
+    kept = ~failed & (F.col("score") >= threshold) & (F.col("place") >= 0)
+    return out.withColumn("base_failed", failed).withColumn("score", per_gram).withColumn("kept", kept).drop("total", "place")

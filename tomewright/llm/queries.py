@@ -66,6 +66,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (op1_suffix_dedup, op2_token_output, op3_packing, op4_vectors, op5_jaccard, op6_pii, op7_quality, op8_sharding, op9_license_scan, op10_bpe)
-    return {f.__name__: f for f in listed}
+    return {f.__name__: f for f in listed} | {"pipeline": pipeline}

@@ -172,7 +172,7 @@ def _scan(length: int):
 
 def _rest(length: int):
     """Each text without its spans."""
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,9 +188,9 @@ def _rest(length: int):
                     removed += max(0, s[1] - end)
                     end = max(end, s[1])
                 rest = b"".join([*kept, raw[end:]])
-                for c, v in zip(cols, (removed, runs, hashlib.sha256(rest).hexdigest(), rest), strict=True):
+                for c, v in zip(cols, (removed, runs, hashlib.sha256(rest).hexdigest(), rest, rest.decode("utf-8", "ignore")), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "name", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "name", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
 
     return run
 
@@ -238,13 +238,13 @@ def _span_lists(texts: DataFrame, length: int, shared: Shared) -> tuple[DataFram
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, kept_text]) for every row.
 
     Texts are UTF-8 bytes (null: none). Each byte that a ``length``-byte string
     covers which also starts earlier, in a document of smaller id or further
     front in its own, is removed, judged on the input; matches never cross
     documents. ``kept`` is what remains, as bytes, and null where nothing was
-    removed. Ids must be unique and not null for this order to exist: rows with a
+    removed; ``kept_text`` the same without characters that a cut has split. Ids must be unique and not null for this order to exist: rows with a
     null id are passed through whole, rows that repeat an id with another text
     are cut by the spans of both, and equal rows with equal ids count as one.
     """
@@ -252,9 +252,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
     all_texts = id_and_text(docs, id_col, text_col)
     texts = all_texts.where("doc_id is not null").withColumn("name", F.xxhash64(F.coalesce("text", F.lit(""))))
     profiles, held = _span_lists(texts, length, shared)
-    cut = held.select("doc_id", "text", "spans", "name").mapInArrow(_rest(length), "doc_id long, name long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut = held.select("doc_id", "text", "spans", "name").mapInArrow(_rest(length), "doc_id long, name long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
     if not keep_text:
-        cut = cut.drop("kept")
+        cut = cut.drop("kept", "kept_text")
     cut = cut.dropDuplicates(["doc_id", "name"])
     out = profiles.select("doc_id", "name", "first_id", "n_bytes", "sha256").join(cut, ["doc_id", "name"], "left")
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= length)
@@ -268,12 +268,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
     ]
     if keep_text:
         cols.append(F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
+        cols.append(F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
     nameless = all_texts.where("doc_id is null").select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
-        *([F.lit(None).cast("binary").alias("kept")] if keep_text else []),
+        *([F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("kept_text")] if keep_text else []),
     )
     return out.select(*cols).unionByName(nameless)
