@@ -2,10 +2,12 @@
 
 Two sets that overlap enough share one of the few first elements of each, in any
 common order of elements; here the order is from rare to common by a fixed-size
-count of all elements. Sets that share such an element are first held against
-the smallest and the largest set that has it. What these links don't settle is
-compared in tiles of one band of sizes, by parity bitmaps whose differing bits
-bound the overlap from above, and then exactly.
+count of all elements. The sets that have an element, ordered by size, fall into
+runs in which neighbours may link by their sizes; a set alone in its run is done.
+Sets are first held against their neighbour and against the head of the run. What
+these links don't settle is compared in tiles of one band of sizes. Every
+comparison is by parity bitmaps, whose differing bits bound the overlap from
+above, and then exact.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomewright.llm.common import Shared, components, id_and_text
+from tomewright.llm.rolling import mix
 from tomewright.llm.shingles import parity_bits, set_id, shingle_sets
 
 #: Counters of element frequency; their number is fixed, so what is broadcast is too.
@@ -42,12 +45,12 @@ def _counted(words: int):
 
 
 def _signed(words: int, percent: int, commonness):
-    """doc_id, set size, set name and the rarest elements."""
+    """doc_id, set size, set name, parity bitmap and the rarest elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = commonness.value
         for b in batches:
-            size, sid, first = np.zeros(b.num_rows, np.int32), [None] * b.num_rows, [None] * b.num_rows
+            size, sid, bits, first = np.zeros(b.num_rows, np.int32), [None] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
             for i, s in shingle_sets(b.column(1), words):
                 n = size[i] = len(s)
                 if n:
@@ -62,24 +65,67 @@ def _signed(words: int, percent: int, commonness):
                         s_first = s[near]
                     else:
                         s_first = s
-                    sid[i], first[i] = set_id(s), s_first.view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(sid, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "n", "sid", "first"])
+                    sid[i], bits[i], first[i] = set_id(s), parity_bits(s, BITS), s_first.view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(size), pa.array(sid, pa.int64()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "sid", "bits", "first"],
+            )
 
     return run
 
 
+def _runs(percent: int):
+    """From (tok, n, sid) in that order: the sets of each run with more than one,
+    the set before each, and the head to hold it against. One pass, one row of
+    memory: an element that very many sets have needs no room."""
+    names = ["run", "sid", "n", "before", "head"]
+
+    def batch(run, sid, n, before, head, near) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(run), pa.array(sid), pa.array(n.astype(np.int32)), pa.array(before, mask=~near), pa.array(head, mask=~near)], names=names)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the row whose successor isn't known yet: tok, n, sid, near, before, head's n, head, run
+        for b in batches:
+            tok, n, sid = (b.column(i).to_numpy().astype(np.int64) for i in range(3))
+            if last is not None:
+                tok, n, sid = (np.concatenate([[x], y]) for x, y in zip(last[:3], (tok, n, sid), strict=True))
+            new = np.ones(len(tok), bool)
+            new[1:] = (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1])
+            tok, n, sid = tok[new], n[new], sid[new]
+            if not len(tok):
+                continue
+            near = np.zeros(len(tok), bool)
+            near[1:] = (tok[1:] == tok[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            at = np.maximum.accumulate(np.where(near, 0, np.arange(len(tok))))
+            head_n, head, run = n[at], sid[at], mix((tok[at] ^ (n[at] << 40)).view(np.uint64)).view(np.int64)
+            before = np.concatenate([sid[:1], sid[:-1]])
+            if last is not None:
+                near[0], before[0] = last[3], last[4]
+                old = at == 0
+                head_n[old], head[old], run[old] = last[5:]
+            held = near.copy()
+            held[:-1] |= near[1:]
+            held[-1] = False
+            if held.any():
+                against = np.where(100 * head_n >= percent * n, head, before)
+                yield batch(*(x[held] for x in (run, sid, n, before, against, near)))
+            last = tuple(x[-1] for x in (tok, n, sid, near, before, head_n, head, run))
+        if last is not None and last[3]:
+            against = last[6] if 100 * last[5] >= percent * last[1] else last[4]
+            yield batch(*(np.array([x]) for x in (last[7], last[2], last[1], last[4], against, last[3])))
+
+    return scan
+
+
 def _built(words: int):
-    """The sets themselves and their bitmaps, of texts that have the named set."""
+    """The sets themselves, of texts that have the named set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             wanted = b.column(0).to_pylist()
-            rows: list[tuple] = []
-            for i, s in shingle_sets(b.column(1), words):
-                if len(s) and set_id(s) == wanted[i]:
-                    rows.append((wanted[i], len(s), parity_bits(s, BITS), s.tobytes()))
-            cols = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["sid", "n", "bits", "elements"])
+            rows = [(wanted[i], s.tobytes()) for i, s in shingle_sets(b.column(1), words) if len(s) and set_id(s) == wanted[i]]
+            cols = zip(*rows, strict=True) if rows else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary()), strict=True)], names=["sid", "elements"])
 
     return run
 
@@ -129,10 +175,10 @@ def _both(pairs: DataFrame, sets: DataFrame, cols: list[str]) -> DataFrame:
     return pairs
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    close = _both(pairs, sets, ["n", "bits"]).where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
-    close = close.mapInArrow(_bounded(percent), "a long, b long")
-    return _both(close, sets, ["elements"]).mapInArrow(_exact(percent), "a long, b long")
+def _bounds(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """Pairs that sizes and bitmaps leave possible."""
+    close = _both(pairs, light, ["n", "bits"]).where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
+    return close.mapInArrow(_bounded(percent), "a long, b long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -157,7 +203,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 def _tile(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["tok", "band", "i", "j"]):
+        for group in _groups(batches, ["run", "band", "i", "j"]):
             is_left = group["is_left"].to_numpy()
             if is_left.all() or not is_left.any():
                 continue
@@ -182,18 +228,17 @@ def _tile(percent: int):
     return run
 
 
-def _unsettled(held: DataFrame, sets: DataFrame, settled: DataFrame, percent: int, shared: Shared) -> DataFrame:
-    """Pairs of sets that share a first element but no component, by tiles of a
-    band of sizes: bands are so wide that close sizes lie in one or neighbours."""
-    now = held.join(settled.withColumnRenamed("node", "sid"), "sid", "left").select("tok", "sid", F.coalesce("component", "sid").alias("comp"))
-    open_groups = now.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2")
-    rows = now.join(open_groups.select("tok", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "tok")
-    rows = rows.join(sets.select("sid", "n", "bits"), "sid")
+def _unsettled(held: DataFrame, light: DataFrame, settled: DataFrame, percent: int, shared: Shared) -> DataFrame:
+    """Pairs of sets of one run that share no component yet, by tiles of a band of
+    sizes: bands are so wide that close sizes lie in one or neighbours."""
+    now = held.join(settled.withColumnRenamed("node", "sid"), "sid", "left").select("run", "sid", "n", F.coalesce("component", "sid").alias("comp"))
+    groups = now.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi and size > 2")
+    rows = now.join(groups.select("run", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "run").join(light.select("sid", "bits"), "sid")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) - F.lit(1e-9)).cast("int")
     salt = F.pmod(F.xxhash64("sid"), "blocks").cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = shared.keep(rows.withColumn("band", band))
-    cols = ["tok", "sid", "n", "comp", "bits"]
+    cols = ["run", "sid", "n", "comp", "bits"]
     left = rows.select(*cols, "band", F.lit(True).alias("is_left"), F.lit(True).alias("home"), salt.alias("i"), every.alias("j"))
     right = rows.select(*cols, "band", F.lit(False).alias("is_left"), F.lit(True).alias("home"), every.alias("i"), salt.alias("j"))
     # the largest size of a band may reach two further, by rounding at its edges
@@ -201,7 +246,7 @@ def _unsettled(held: DataFrame, sets: DataFrame, settled: DataFrame, percent: in
         *cols, "band", F.lit(False).alias("is_left"), F.lit(False).alias("home"), every.alias("i"), salt.alias("j")
     )
     tiles = left.unionByName(right).unionByName(guest)
-    keys = ["tok", "band", "i", "j"]
+    keys = ["run", "band", "i", "j"]
     return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tile(percent), "a long, b long").distinct()
 
 
@@ -223,31 +268,39 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     for r in counts.collect():  # at most COUNTERS rows
         weight[r.counter] = r.n
     sent = spark.sparkContext.broadcast(weight)
-    signed = shared.keep(texts.mapInArrow(_signed(words, percent, sent), "doc_id long, n int, sid long, first array<long>"))
-    filled = signed.where("sid is not null")
-
-    elements = filled.select("sid", F.explode("first").alias("tok"))
-    common = elements.groupBy("tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
-    held = shared.keep(elements.join(common, "tok").groupBy("tok", "sid", "lo", "hi").agg(F.lit(1).alias("one")).drop("one"))
-    pairs = held.select("sid", F.explode(F.array("lo", "hi")).alias("leader")).where("sid <> leader")
-    pairs = pairs.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct()
-
-    reps = filled.groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    wanted = reps.join(held.select("sid").distinct(), "sid").where("doc_id is not null")
-    sets = texts.join(wanted, "doc_id").select("sid", "text").mapInArrow(_built(words), "sid long, n int, bits binary, elements binary")
-    sets = shared.keep(sets.dropDuplicates(["sid"]))
-
-    linked = shared.keep(_verified(pairs, sets, percent))
+    signed = shared.keep(texts.mapInArrow(_signed(words, percent, sent), "doc_id long, n int, sid long, bits binary, first array<long>"))
+    elements = signed.where("sid is not null").select(F.explode("first").alias("tok"), "n", "sid")
+    runs = elements.repartition("tok").sortWithinPartitions("tok", "n", "sid").mapInArrow(_runs(percent), "run long, sid long, n int, before long, head long")
+    held = shared.keep(runs)
+    pairs = held.select("sid", F.explode(F.array("before", "head")).alias("other")).where("sid <> other")
+    pairs = pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
+    ids = shared.keep(signed.select("doc_id", "n", "sid"))
+    reps = ids.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    light = signed.where("sid is not null and doc_id is not null").join(reps, ["sid", "doc_id"]).select("sid", "doc_id", "n", "bits")
+    light = shared.keep(light.join(held.select("sid").distinct(), "sid").dropDuplicates(["sid"]))
+    shared.drop(signed)
+
+    def sets_of(close: DataFrame) -> DataFrame:
+        """The sets that stand in pairs, built from the texts."""
+        wanted = close.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(light.select("sid", "doc_id"), "sid")
+        built = texts.join(wanted, "doc_id").select("sid", "text").mapInArrow(_built(words), "sid long, elements binary")
+        return shared.keep(built.dropDuplicates(["sid"]))
+
+    close = shared.keep(_bounds(pairs, light, percent))
+    sets = sets_of(close)
+    linked = shared.keep(_both(close, sets, ["elements"]).mapInArrow(_exact(percent), "a long, b long"))
+    shared.drop(sets)
     ends = linked.select(F.col("a").alias("u"), F.col("b").alias("v"))
     settled = shared.keep(components(ends, shared))
-    more = shared.keep(_verified(_unsettled(held, sets, settled, percent, shared), sets, percent))
-    if not more.isEmpty():
+    further = shared.keep(_unsettled(held, light, settled, percent, shared))
+    if not further.isEmpty():
+        more = _both(further, sets_of(further), ["elements"]).mapInArrow(_exact(percent), "a long, b long")
         settled = components(ends.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))), shared)
     named = reps.join(settled.withColumnRenamed("node", "sid"), "sid")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_set = reps.join(settled.withColumnRenamed("node", "sid"), "sid", "left").join(least, "component", "left")
     of_set = of_set.select("sid", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = signed.select("doc_id", "n", "sid").join(of_set, "sid", "left")
+    out = ids.join(of_set, "sid", "left")
     own = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
