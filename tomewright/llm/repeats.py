@@ -3,9 +3,9 @@
 Two equal passages of ``length`` bytes hold the same smallest hash of all their
 ``GRAM``-byte strings. Cutting every text into pieces of places whose passages
 share that hash, and keying the pieces by it, sends all equal passages to one
-bucket. Keys that only one place of one text has are done; the pieces of the
-others are fetched, equal pieces become one, and the suffix array of each run of
-buckets finds the passages that different pieces share.
+bucket. Keys that only one place has are done; the pieces of the others are
+fetched, equal pieces become one, and the suffix array of each run of buckets
+finds the passages that different pieces share.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ from tomewright.llm.common import Shared, id_and_text
 from tomewright.llm.rolling import byte_chunks, hashes, sums
 from tomewright.llm.suffixes import common_prefixes, keys, suffix_array
 
-GRAM = 20
+GRAM = 32
 #: Symbols in one suffix array; buckets are never split between arrays.
 ARRAY = 1 << 20
 #: Distinct pieces of one bucket that go into one array; larger buckets are
 #: compared passage by passage.
-BUCKET = 4000
+BUCKET = 20_000
 
 
 def _window_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -50,35 +50,58 @@ def _cut(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(data) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = np.arange(len(data) - GRAM + 1)
-    h = hashes(sums(data), place, place + GRAM)
-    least = _window_minima(h, length - GRAM + 1)
+    gram = min(GRAM, length)
+    place = np.arange(len(data) - gram + 1)
+    h = hashes(sums(data), place, place + gram)
+    least = _window_minima(h, length - gram + 1)
     new = np.ones(n, bool)
     new[1:] = (least[1:] != least[:-1]) | (h[: n - 1] == least[:-1])
     at = np.flatnonzero(new)
     return at, least[at].view(np.int64)
 
 
-def _profile(length: int):
-    """doc_id, row, size and hash of each text, its pieces, and keys it has twice."""
-    kinds = (pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+def _cuts(length: int):
+    """The pieces of each text: doc_id, key, first passage and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in kinds]
-            for _, data, offsets in byte_chunks(b.column(1)):
-                for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    raw = data[i:j]
-                    at, key = _cut(raw, length)
-                    seen, times = np.unique(key, return_counts=True)
-                    row = (j - i, hashlib.sha256(raw).hexdigest(), key, at.astype(np.int32), seen[times > 1])
-                    for c, v in zip(cols, row, strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "name", "n_bytes", "sha256", "keys", "starts", "twice"])
+            ids = b.column(0).to_numpy()
+            for first, data, offsets in byte_chunks(b.column(1)):
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                for r, (i, j) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True), first):
+                    at, key = _cut(data[i:j], length)
+                    if len(at):
+                        for o, x in zip(out, (np.full(len(at), ids[r]), key, at, np.diff(at, append=j - i - length + 1)), strict=True):
+                            o.append(x)
+                if out[0]:
+                    cols = [np.concatenate(o) for o in out]
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=["doc_id", "key", "start", "n"])
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key (the second column) those whose key isn't alone. One
+    row waits for its successor; a key that very many have needs no room."""
+    last, linked = None, False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        b = b if last is None else pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+        key = b.column(1).to_numpy()
+        same = np.zeros(len(key), bool)
+        same[1:] = key[1:] == key[:-1]
+        same[0] = linked
+        keep = same.copy()
+        keep[:-1] |= same[1:]
+        keep[-1] = False
+        if keep.any():
+            yield b.filter(pa.array(keep))
+        last, linked = b.slice(len(key) - 1), bool(same[-1])
+    if linked:
+        yield last
+
+
 def _pieces(length: int):
     """The bytes of the wanted pieces of each text."""
 
@@ -139,33 +162,59 @@ def repeated_in(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, length:
 
 
 def _scan(length: int):
-    """Suffix arrays over runs of whole buckets, from rows sorted by key."""
+    """From pieces sorted by key, bytes, doc_id and start: the spans of pieces
+    that stood before, and those that suffix arrays find, over runs of whole
+    buckets. The passages of a bucket beyond BUCKET go out with their digests."""
+    names, kinds = ["doc_id", "from", "to", "digest"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    def spans(key: list[int], rows: list[tuple]) -> list[tuple[int, int, int]]:
-        doc, start = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        return repeated_in([r[0] for r in rows], doc, start, length)
+    def passages(piece: bytes, doc: int, start: int) -> list[tuple]:
+        return [(doc, start + i, start + i + length, hashlib.md5(piece[i : i + length]).digest()) for i in range(len(piece) - length + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: list[int] = []
-        rows: list[tuple] = []
-        size = 0
-
-        def flush(upto: int) -> Iterator[pa.RecordBatch]:
-            nonlocal key, rows, size
-            found = spans(key[:upto], rows[:upto]) if upto > 1 else []
-            key, rows = key[upto:], rows[upto:]
-            size = sum(len(r[0]) + 1 for r in rows)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "from", "to"])
+        done: list[tuple] = []  # distinct pieces of finished buckets with more than one
+        now: list[tuple] = []  # those of the bucket at hand
+        out: list[tuple] = []
+        key = before = place = None
+        size, over = 0, False
+
+        def found(rows: list[tuple]) -> list[tuple]:
+            doc, start = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+            return [(*x, None) for x in repeated_in([r[0] for r in rows], doc, start, length)]
 
         for b in batches:
-            for k, p, d, s in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if size >= ARRAY and key and k != key[-1]:
-                    yield from flush(len(key))
-                key.append(k)
-                rows.append((p, d, s))
-                size += len(p) + 1
-        yield from flush(len(key))
+            for k, piece, doc, start in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if k != key:
+                    if len(now) > 1:
+                        done += now
+                        size += sum(len(r[0]) + 1 for r in now)
+                    now, key, before, over = [], k, None, False
+                    if size >= ARRAY:
+                        out += found(done)
+                        done, size = [], 0
+                if piece == before:
+                    if (doc, start) != place:  # else one row given twice
+                        out.append((doc, start, start + len(piece), None))
+                elif over:
+                    out += passages(piece, doc, start)
+                else:
+                    now.append((piece, doc, start))
+                    if len(now) > BUCKET:
+                        for r in now:
+                            out += passages(*r)
+                        now, over = [], True
+                before, place = piece, (doc, start)
+                if len(out) >= 10_000:
+                    yield batch(out)
+                    out = []
+        if len(now) > 1:
+            done += now
+        if done:
+            out += found(done)
+        if out:
+            yield batch(out)
 
     return run
 
@@ -195,46 +244,26 @@ def _rest(length: int):
     return run
 
 
-def _span_lists(texts: DataFrame, length: int, shared: Shared) -> tuple[DataFrame, DataFrame]:
-    """(profiles, texts with spans): of all rows doc_id, size and hash; of texts
-    that lose a part the text and its spans."""
-    profiles = shared.keep(texts.mapInArrow(_profile(length), "doc_id long, name long, n_bytes int, sha256 string, keys array<long>, starts array<int>, twice array<long>"))
-    keyed = profiles.select("name", F.explode("keys").alias("key"))
-    between = keyed.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi").select("key")
-    within = profiles.select(F.explode("twice").alias("key"))
-    wanted = between.unionByName(within).distinct()
-    # of equal texts only the first is searched; the others go whole or stay whole
-    first = profiles.groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    ends = F.slice(F.concat("starts", F.array(F.col("n_bytes") - length + 1)), F.lit(2), F.size("starts"))
-    each = profiles.select("doc_id", "name", F.explode(F.arrays_zip("keys", "starts", ends.alias("ends"))).alias("p"))
-    each = each.select("doc_id", "name", F.col("p.keys").alias("key"), F.col("p.starts").alias("start"), (F.col("p.ends") - F.col("p.starts")).alias("n"))
-    hit = each.join(wanted, "key").join(first, ["name", "doc_id"], "left_semi")
-    lists = hit.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("found"))
-    held = shared.keep(texts.join(lists, "doc_id"))
+def _spans(texts: DataFrame, facts: DataFrame, length: int, shared: Shared) -> DataFrame:
+    """doc_id, name, text and spans of the texts that lose a part. Of equal texts
+    only the first is searched; the others go whole or stay whole."""
+    cuts = texts.select("doc_id", "text").mapInArrow(_cuts(length), "doc_id long, key long, start int, n int")
+    hits = shared.keep(cuts.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "doc_id long, key long, start int, n int"))
+    first = facts.groupBy("name").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    lists = hits.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("found"))
+    held = shared.keep(texts.join(lists, "doc_id").select("doc_id", "text", "name", "found"))
+    shared.drop(hits)
     pieces = held.select("doc_id", "text", "found").mapInArrow(_pieces(length), "doc_id long, key long, start int, piece binary")
-    pieces = shared.keep(pieces)
-
-    same = pieces.groupBy("key", "piece").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    starts = pieces.join(same, ["key", "piece", "doc_id"]).groupBy("key", "piece").agg(F.min("start").alias("start"), F.first("doc_id").alias("doc_id"), F.first("copies").alias("copies"))
-    distinct = shared.keep(starts)
-    copied = distinct.where("copies > 1").select("key", "piece", F.col("doc_id").alias("doc0"), F.col("start").alias("start0"))
-    again = pieces.join(copied, ["key", "piece"]).where("doc_id <> doc0 or start <> start0")
-    again = again.select("doc_id", F.col("start").alias("from"), (F.col("start") + F.length("piece")).alias("to"))
-
-    sizes = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    bucketed = distinct.select("key", "piece", "doc_id", "start").join(sizes, "key")
-    small = bucketed.where(F.col("size") <= BUCKET).select("key", "piece", "doc_id", "start")
-    from_arrays = small.repartition("key").sortWithinPartitions("key").mapInArrow(_scan(length), "doc_id long, from int, to int")
+    pieces = pieces.select("key", "piece", "doc_id", "start").repartition("key").sortWithinPartitions("key", "piece", "doc_id", "start")
+    spans = shared.keep(pieces.mapInArrow(_scan(length), "doc_id long, from int, to int, digest binary"))
     # buckets beyond one array: passage by passage, with minima that each task takes first
-    large = bucketed.where(F.col("size") > BUCKET).select("piece", "doc_id", "start", F.explode(F.sequence(F.lit(0), F.length("piece") - length)).alias("at"))
-    passage = large.select("doc_id", (F.col("start") + F.col("at")).alias("from"), F.md5(F.substring("piece", F.col("at") + 1, F.lit(length))).alias("m"))
-    least_doc = passage.groupBy("m").agg(F.min("doc_id").alias("doc0"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    least = passage.join(least_doc, "m").where("doc_id = doc0").groupBy("m").agg(F.min("doc0").alias("doc0"), F.min("from").alias("from0"))
-    from_large = passage.join(least, "m").where("doc_id <> doc0 or from <> from0").select("doc_id", "from", (F.col("from") + length).alias("to"))
-
-    spans = again.unionByName(from_arrays).unionByName(from_large)
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    return profiles.join(first.withColumnRenamed("doc_id", "first_id"), "name", "left"), held.select("doc_id", "text", "name").join(spans, "doc_id")
+    passage = spans.where("digest is not null")
+    least_doc = passage.groupBy("digest").agg(F.min("doc_id").alias("doc0"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    least = passage.join(least_doc, "digest").where("doc_id = doc0").groupBy("digest").agg(F.min("doc0").alias("doc0"), F.min("from").alias("from0"))
+    late = passage.join(least, "digest").where("doc_id <> doc0 or from <> from0")
+    each = spans.where("digest is null").select("doc_id", "from", "to").unionByName(late.select("doc_id", "from", "to"))
+    lists = each.groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    return held.select("doc_id", "text", "name").join(lists, "doc_id")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,13 +279,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
     """
     shared = Shared(docs.sparkSession)
     all_texts = id_and_text(docs, id_col, text_col)
-    texts = all_texts.where("doc_id is not null").withColumn("name", F.xxhash64(F.coalesce("text", F.lit(""))))
-    profiles, held = _span_lists(texts, length, shared)
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    texts = all_texts.where("doc_id is not null").withColumn("name", F.xxhash64(raw))
+    facts = shared.keep(texts.select("doc_id", "name", F.octet_length(raw).alias("n_bytes"), F.sha2(raw, 256).alias("sha256")))
+    held = _spans(texts, facts, length, shared)
     cut = held.select("doc_id", "text", "spans", "name").mapInArrow(_rest(length), "doc_id long, name long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
     if not keep_text:
         cut = cut.drop("kept", "kept_text")
     cut = cut.dropDuplicates(["doc_id", "name"])
-    out = profiles.select("doc_id", "name", "first_id", "n_bytes", "sha256").join(cut, ["doc_id", "name"], "left")
+    first = facts.groupBy("name").agg(F.min("doc_id").alias("first_id"))
+    out = facts.join(first, "name").join(cut, ["doc_id", "name"], "left")
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= length)
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     cols = [
