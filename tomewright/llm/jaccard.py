@@ -28,6 +28,8 @@ from tomewright.llm.shingles import parity_bits, set_id, shingle_sets
 COUNTERS = 1 << 16
 BITS = 1024
 TILE = 2048
+#: Sets of a cluster in a block; a tile of the exact step holds two.
+BLOCK = 256
 
 
 def _counted(words: int):
@@ -150,21 +152,22 @@ def _bounded(percent: int):
 
 
 def _exact(percent: int):
-    """Intersect the sorted arrays."""
+    """Intersect the sorted arrays of the pairs of each tile, whose sets come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            keep = []
-            for x, y in zip(c["elements_a"], c["elements_b"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([c["a"].filter(keep), c["b"].filter(keep)], names=["a", "b"])
+        for group in _groups(batches, ["cluster", "i", "j"]):
+            cols = [group[c].to_pylist() for c in ("a", "b", "elements")]
+            sets, found = {}, []
+            for a, b, elements in zip(*cols, strict=True):
+                if elements is not None:
+                    sets[a] = np.frombuffer(elements, np.uint64)
+                else:
+                    x, y = sorted((sets[a], sets[b]), key=len)
+                    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                    if 100 * shared >= percent * (len(x) + len(y) - shared):
+                        found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return run
 
@@ -181,6 +184,22 @@ def _bounds(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     return close.mapInArrow(_bounded(percent), "a long, b long")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, shared: Shared) -> DataFrame:
+    """The pairs that link. Pairs of one cluster share tiles of two blocks of its
+    sets, so that a set is sent once to a tile, not once for each of its pairs."""
+    clusters = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), shared)
+    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    blocks = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).cast("int")
+    seat = shared.keep(clusters.join(sizes, "component").select(F.col("node").alias("sid"), F.col("component").alias("cluster"), blocks.alias("block")))
+    both = _both(pairs, seat, ["cluster", "block"])
+    tiled = both.select(F.col("cluster_a").alias("cluster"), F.least("block_a", "block_b").alias("i"), F.greatest("block_a", "block_b").alias("j"), "a", "b")
+    needed = tiled.select("cluster", "i", "j", F.explode(F.array("a", "b")).alias("sid")).distinct()
+    needed = needed.join(sets, "sid").select("cluster", "i", "j", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "elements")
+    keys = ["cluster", "i", "j"]
+    rows = needed.unionByName(tiled.withColumn("elements", F.lit(None).cast("binary"))).repartition(*keys)
+    return rows.sortWithinPartitions(*keys, F.col("b").asc_nulls_first()).mapInArrow(_exact(percent), "a long, b long")
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of equal keys, from rows sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -280,21 +299,23 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     light = shared.keep(light.join(held.select("sid").distinct(), "sid").dropDuplicates(["sid"]))
     shared.drop(signed)
 
-    def sets_of(close: DataFrame) -> DataFrame:
-        """The sets that stand in pairs, built from the texts."""
-        wanted = close.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(light.select("sid", "doc_id"), "sid")
+    def sets_of(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """The sets that stand in pairs, built from the texts, unless known."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        ids = ids if known is None else ids.join(known.select("sid"), "sid", "left_anti")
+        # written, so that its true size decides how the texts are joined
+        wanted = shared.keep(ids.join(light.select("sid", "doc_id"), "sid").coalesce(8))
         built = texts.join(wanted, "doc_id").select("sid", "text").mapInArrow(_built(words), "sid long, elements binary")
         return shared.keep(built.dropDuplicates(["sid"]))
 
     close = shared.keep(_bounds(pairs, light, percent))
     sets = sets_of(close)
-    linked = shared.keep(_both(close, sets, ["elements"]).mapInArrow(_exact(percent), "a long, b long"))
-    shared.drop(sets)
+    linked = shared.keep(_verified(close, sets, percent, shared))
     ends = linked.select(F.col("a").alias("u"), F.col("b").alias("v"))
     settled = shared.keep(components(ends, shared))
     further = shared.keep(_unsettled(held, light, settled, percent, shared))
     if not further.isEmpty():
-        more = _both(further, sets_of(further), ["elements"]).mapInArrow(_exact(percent), "a long, b long")
+        more = _verified(further, sets.unionByName(sets_of(further, sets)), percent, shared)
         settled = components(ends.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))), shared)
     named = reps.join(settled.withColumnRenamed("node", "sid"), "sid")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
