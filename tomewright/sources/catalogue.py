@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tomewright.functions.text import links, slug
 
@@ -31,8 +32,9 @@ def read(spark: SparkSession, kind: str, allowed: set[str] | None = None, **opti
 def typed_json(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
     """Files that hold arrays of records; null entries are skipped, other shapes
     fail the read."""
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(paths)
-    return rows.where(~F.forall(F.array(*[F.col(c).isNull() for c in rows.columns]), lambda x: x))
+    kind = T.ArrayType(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
+    each = spark.read.text(paths, wholetext=True).select(F.explode(F.from_json("value", kind, {"mode": "FAILFAST"})).alias("r"))
+    return each.where("r is not null").select("r.*")
 
 
 @reader("partitions")
