@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomewright.llm.common import Shared, id_and_text
-from tomewright.llm.rolling import byte_chunks, hashes, sums
+from tomewright.llm.rolling import BASE, byte_chunks, hashes, mix, sums
 from tomewright.llm.suffixes import common_prefixes, keys, suffix_array
 
 GRAM = 32
@@ -60,45 +60,77 @@ def _cut(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, least[at].view(np.int64)
 
 
+def _own_repeats(raw: bytes, at: np.ndarray, key: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which pieces of one text to keep, and the spans of those that stand in it
+    before, byte for byte; neighbouring spans as one."""
+    keep, spans = np.ones(len(at), bool), []
+    _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+    seen = set()
+    for i in np.flatnonzero(times[back] > 1).tolist():
+        start, end = int(at[i]), int(at[i] + size[i]) + length - 1
+        piece = raw[start:end]
+        if piece not in seen:
+            seen.add(piece)
+            continue
+        keep[i] = False
+        if spans and start <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], end)
+        else:
+            spans.append((start, end))
+    return keep, spans
+
+
 def _cuts(length: int):
-    """The pieces of each text: doc_id, key, first passage and their number."""
+    """The pieces of each text: doc_id, key, first passage and their number.
+    Pieces that a text holds again are ``again``, with the bytes they cover: rows
+    that are done, and so have a key of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
             for first, data, offsets in byte_chunks(b.column(1)):
-                out: list[list[np.ndarray]] = [[], [], [], []]
+                out: list[list[np.ndarray]] = [[], [], [], [], []]
                 for r, (i, j) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True), first):
                     at, key = _cut(data[i:j], length)
-                    if len(at):
-                        for o, x in zip(out, (np.full(len(at), ids[r]), key, at, np.diff(at, append=j - i - length + 1)), strict=True):
-                            o.append(x)
+                    if not len(at):
+                        continue
+                    size = np.diff(at, append=j - i - length + 1)
+                    keep, spans = _own_repeats(data[i:j].tobytes(), at, key, size, length)
+                    done = np.array(spans, np.int64).reshape(-1, 2)
+                    own = mix(done[:, 0].astype(np.uint64) + np.uint64(ids[r] & 0xFFFFFFFF) * np.uint64(BASE)).view(np.int64)
+                    for o, x, y in zip(out[1:], (key[keep], at[keep], size[keep], np.zeros(int(keep.sum()), bool)), (own, done[:, 0], done[:, 1] - done[:, 0], np.ones(len(done), bool)), strict=True):
+                        o += [x, y]
+                    out[0].append(np.full(int(keep.sum()) + len(done), ids[r]))
                 if out[0]:
                     cols = [np.concatenate(o) for o in out]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=["doc_id", "key", "start", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4])],
+                        names=["doc_id", "key", "start", "n", "again"],
+                    )
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key (the second column) those whose key isn't alone. One
-    row waits for its successor; a key that very many have needs no room."""
+    """Of rows sorted by key (the second column) those whose key isn't alone, and
+    those that are done. One row waits for its successor; a key that very many
+    have needs no room."""
     last, linked = None, False
     for b in batches:
         if not b.num_rows:
             continue
         b = b if last is None else pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
-        key = b.column(1).to_numpy()
+        key, again = b.column(1).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)
         same = np.zeros(len(key), bool)
         same[1:] = key[1:] == key[:-1]
         same[0] = linked
-        keep = same.copy()
+        keep = same | again
         keep[:-1] |= same[1:]
         keep[-1] = False
         if keep.any():
             yield b.filter(pa.array(keep))
         last, linked = b.slice(len(key) - 1), bool(same[-1])
-    if linked:
+    if last is not None and (linked or last.column(4)[0].as_py()):
         yield last
 
 
@@ -247,12 +279,14 @@ def _rest(length: int):
 def _spans(texts: DataFrame, facts: DataFrame, length: int, shared: Shared) -> DataFrame:
     """doc_id, name, text and spans of the texts that lose a part. Of equal texts
     only the first is searched; the others go whole or stay whole."""
-    cuts = texts.select("doc_id", "text").mapInArrow(_cuts(length), "doc_id long, key long, start int, n int")
-    hits = shared.keep(cuts.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "doc_id long, key long, start int, n int"))
+    schema = "doc_id long, key long, start int, n int, again boolean"
+    cuts = texts.select("doc_id", "text").mapInArrow(_cuts(length), schema)
+    hits = shared.keep(cuts.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, schema))
     first = facts.groupBy("name").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    lists = hits.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("found"))
+    hits = hits.join(first, "doc_id", "left_semi")
+    lists = hits.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("again"), F.struct("key", "start", "n"))).alias("found"))
+    own = hits.where("again").select("doc_id", F.col("start").alias("from"), (F.col("start") + F.col("n")).alias("to"))
     held = shared.keep(texts.join(lists, "doc_id").select("doc_id", "text", "name", "found"))
-    shared.drop(hits)
     pieces = held.select("doc_id", "text", "found").mapInArrow(_pieces(length), "doc_id long, key long, start int, piece binary")
     pieces = pieces.select("key", "piece", "doc_id", "start").repartition("key").sortWithinPartitions("key", "piece", "doc_id", "start")
     spans = shared.keep(pieces.mapInArrow(_scan(length), "doc_id long, from int, to int, digest binary"))
@@ -261,7 +295,7 @@ def _spans(texts: DataFrame, facts: DataFrame, length: int, shared: Shared) -> D
     least_doc = passage.groupBy("digest").agg(F.min("doc_id").alias("doc0"), F.count(F.lit(1)).alias("n")).where("n > 1")
     least = passage.join(least_doc, "digest").where("doc_id = doc0").groupBy("digest").agg(F.min("doc0").alias("doc0"), F.min("from").alias("from0"))
     late = passage.join(least, "digest").where("doc_id <> doc0 or from <> from0")
-    each = spans.where("digest is null").select("doc_id", "from", "to").unionByName(late.select("doc_id", "from", "to"))
+    each = spans.where("digest is null").select("doc_id", "from", "to").unionByName(late.select("doc_id", "from", "to")).unionByName(own)
     lists = each.groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     return held.select("doc_id", "text", "name").join(lists, "doc_id")
 
