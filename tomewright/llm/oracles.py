@@ -2,6 +2,41 @@
 
 from __future__ import annotations
 
+#: All pairs, then the closure of the links.
+_VECTORS = """
+WITH RECURSIVE n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+s AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM n),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+r(id, c) AS (SELECT vec_id, vec_id FROM n UNION SELECT r.id, l.b FROM r JOIN l ON r.c = l.a),
+k AS (SELECT id, min(c) AS component_id FROM r GROUP BY id), d AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM n JOIN k ON id = vec_id LEFT JOIN d ON a = vec_id
+"""
+
+#: Sets of shingles as text, pairs by common shingles, then the closure.
+_JACCARD = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+ WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+h AS (SELECT a, b FROM p WHERE 100 * m >= 90 * (na + nb - m)), l AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+r(id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.id, l.b FROM r JOIN l ON r.c = l.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(c) AS component_id FROM s JOIN r ON id = doc_id GROUP BY doc_id, len(s)
+"""
+
+#: CRC-32 by its table, over the hexadecimal digits of the text.
+_SHARDS = """
+WITH RECURSIVE t(i, c, k) AS (SELECT i, i, 0 FROM range(256) x(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM t WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM t WHERE k = 8),
+h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+d AS (SELECT doc_id, len(h) // 2 + 16 AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, len(h) // 2), lambda i: CAST(('0x' || h[2 * i + 1:2 * i + 2]) AS BIGINT))),
+ lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32 FROM h, tab),
+o AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before, sum(size) OVER () AS total FROM d),
+p AS (SELECT *, CAST(least(39, ((2 * before + size) * 40) // (2 * total)) AS INT) AS shard FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM p
+"""
+
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op4_vectors": _VECTORS, "op5_jaccard": _JACCARD, "op8_sharding": _SHARDS}
