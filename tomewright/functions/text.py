@@ -84,6 +84,13 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)(.)\1+", "$1")
 
 
+def occurrences(text: Column, needle: str) -> Column:
+    """The places, from 0, at which ``needle`` stands, overlapping ones too."""
+    last = F.length(text) - len(needle)
+    here = lambda i: F.substring(text, i.cast("int") + 1, F.lit(len(needle))) == needle
+    return F.when(last >= 0, F.filter(F.sequence(F.lit(0).cast("long"), last.cast("long")), here)).otherwise(F.array().cast("array<bigint>"))
+
+
 #: Characters and their entities.
 ENTITIES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"}
 

@@ -13,7 +13,7 @@ from tomewright.operators.shared import shared_folder
 from tomewright.queries import query, table
 from tomewright.queries.searching import parts
 from tomewright.sources.cache import misses, refreshed, unused
-from tomewright.sources.catalogue import default_sources, hit_record, list_or_one, page_entries, partitions, search_hits
+from tomewright.sources.catalogue import default_sources, hit_record, list_or_one, page_entries, page_layout, partitions, search_hits
 from tomewright.sources.sink import manifest, record_json, write_catalogue
 
 
@@ -277,3 +277,11 @@ def link_counts(spark, sf_dir):
 @query("SELECT DISTINCT p_name AS name, list_reduce(list_prepend('', string_split(p_name, '')), lambda a, c: CASE WHEN a[-1] = c THEN a ELSE a || c END) AS squeezed FROM part")
 def squeeze_chars(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("squeezed", squeeze(F.col("name")))
+
+
+@query("""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS article FROM pages),
+ h AS (SELECT *, regexp_extract_all(article, '(?s)<h1>([^<]*)</h1>', 1) AS hs FROM a)
+ SELECT page_id, len(hs) = 1 AS ok, title, hs[1] AS heading, trim(regexp_replace(regexp_replace(regexp_replace(article, '(?s)<h1>[^<]*</h1>', '', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS body FROM h""")
+def page_layouts(spark, sf_dir):
+    """The fields of entry pages."""
+    return table(spark, sf_dir, "pages").select("page_id", page_layout(F.col("html")).alias("x")).select("page_id", "x.*")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tomewright.functions import cards
 from tomewright.functions import parsing as p
+from tomewright.functions.text import occurrences
 from tomewright.queries import query, table
 
 N, KEY = F.col("p_size"), F.col("p_partkey")
@@ -118,3 +120,37 @@ def arcanum_tags(spark, sf_dir):
     second = F.get(F.split(tag, ":"), F.lit(1))
     rows = table(spark, sf_dir, "part").where(~tag.startswith("arc:"))
     return rows.select("p_partkey", second.alias("arcanum"), second.isNotNull().alias("is_row"))
+
+
+_M = "CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN 'dust worth ' || p_size || ' gp' || CASE WHEN p_size % 2 = 0 THEN ', consumed by the spell' ELSE '' END ELSE 'wool' END"
+
+
+@query(f"""WITH x AS (SELECT *, p_size % 11 AS lv, {_M} AS m FROM part)
+ SELECT p_partkey, CASE WHEN lv = 0 THEN p_type || ' Cantrip' ELSE lv || CASE lv WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END || '-level ' || p_type END AS title,
+ 'V' || CASE WHEN p_size % 2 = 0 THEN ', S' ELSE '' END || CASE WHEN m IS NULL THEN '' WHEN p_size % 3 = 1 AND p_size >= 10 THEN ', <b>M' || CASE WHEN p_size % 2 = 0 THEN '*' ELSE '' END || '</b> ('
+ || replace(m, p_size || ' gp', '<b>' || p_size || ' gp</b>') || ')' ELSE ', M (' || m || ')' END AS components,
+ CASE WHEN p_size % 5 = 0 THEN p_brand || ' (p. ' || p_size || ')' ELSE p_brand END AS origin FROM x""")
+def card_projection(spark, sf_dir):
+    level = N % 11
+    m = N % 3
+    materials = F.when(m == 1, F.concat(F.lit("dust worth "), SIZE, F.lit(" gp"), F.when(N % 2 == 0, ", consumed by the spell").otherwise(""))).when(m == 2, "wool")
+    hint = F.when(N % 5 == 0, F.concat(F.lit("p. "), SIZE))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", cards.level_line(level, F.col("p_type")).alias("title"), cards.component_line(F.lit(True), N % 2 == 0, materials).alias("components"),
+        cards.origin_line(F.col("p_brand"), hint).alias("origin"),
+    )
+
+
+@query("""SELECT p_partkey, '<table><tr><th>Type</th><td>' || p_type || '</td></tr>' || CASE WHEN p_size % 2 = 0 THEN '<tr><th>Duration</th><td>Concentration, up to ' || p_size || ' minutes</td></tr>'
+ ELSE '<tr><th>Duration</th><td>' || p_size || ' minutes</td></tr>' END || '</table><p>' || p_name || '</p>' AS card FROM part""")
+def detail_projection(spark, sf_dir):
+    """A field without a value has no line."""
+    lasts = cards.duration_line(N % 2 == 0, F.concat(SIZE, F.lit(" minutes")))
+    fields = [("Type", F.col("p_type")), ("Area", F.lit(None).cast("string")), ("Duration", lasts)]
+    return table(spark, sf_dir, "part").select("p_partkey", cards.card(fields, F.col("p_name")).alias("card"))
+
+
+@query("SELECT p_partkey, list_filter(range(0, len(p_name)), lambda i: substr(p_name, i + 1, 2) = 'an') AS places FROM part")
+def find_indices(spark, sf_dir):
+    """All places of a needle, overlapping ones too."""
+    return table(spark, sf_dir, "part").select("p_partkey", occurrences(F.col("p_name"), "an").alias("places"))

@@ -63,6 +63,16 @@ def page_entries(pages: DataFrame, part: str, html: str = "html") -> DataFrame:
     return rows.withColumn("slug", slug(F.col("entry")))
 
 
+def page_layout(html: Column) -> Column:
+    """Title, heading and body text of an entry page. ``ok`` is false where the
+    page has not one heading inside an article; such pages are rejects."""
+    title = F.regexp_extract(html, "(?s)<title>([^<]*)</title>", 1)
+    article = F.regexp_extract(html, "(?s)<article>(.*)</article>", 1)
+    headings = F.regexp_extract_all(article, F.lit("(?s)<h1>([^<]*)</h1>"), F.lit(1))
+    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(article, "(?s)<h1>[^<]*</h1>", ""), "<[^>]*>", " "), r"[ \t\r\n]+", " ")
+    return F.struct((F.size(headings) == 1).alias("ok"), title.alias("title"), F.get(headings, F.lit(0)).alias("heading"), F.trim(body).alias("body"))
+
+
 def search_hits(raw: DataFrame, book: str) -> DataFrame:
     """Rows of stored search hits for one book. The stored match is loose, so the
     book is compared again, ignoring case; superseded records are left out."""
