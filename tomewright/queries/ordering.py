@@ -11,7 +11,6 @@ from tomewright.plans.sorting import card_order, sort_order
 from tomewright.queries import query, table
 from tomewright.queries.searching import parts
 
-KEY = [F.lit("p_partkey")]
 _PRIORITY = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
