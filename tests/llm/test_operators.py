@@ -203,7 +203,7 @@ def test_jaccard(docs, n, percent):
 
 def test_jaccard_with_small_tiles(docs, monkeypatch):
     monkeypatch.setattr("tomewright.llm.jaccard.TILE", 3)
-    monkeypatch.setattr("tomewright.llm.jaccard.BLOCK", 2)
+    monkeypatch.setattr("tomewright.llm.jaccard.BLOCK", 200)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups(docs, 3, 70).collect()}
     assert got == fx.groups(PAIRS, 3, 70)
 
@@ -380,3 +380,11 @@ def test_pipeline(spark, docs, odd, empty, tmp_path):
             assert len((cut[i].text or "").encode()) <= n - gone and cut[i].n_chars == len(cut[i].text)
     for _, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, odd, SF_DIR).columns == odd.columns
+
+
+def test_components_in_small_steps(spark, monkeypatch):
+    """Long paths and hubs, with partitions that must let go again and again."""
+    monkeypatch.setattr("tomewright.llm.common.CONTRACT", 10)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(600, 640)] + [(639, 100)] + [(900 - k, 899 - k) for k in range(20)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), Shared(spark)).collect()}
+    assert got == {x: 100 if x < 700 else 880 for e in edges for x in e}

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that ends a word: space and the controls from tab to return.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Nodes that a partition holds at once while contracting edges.
+CONTRACT = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,34 +74,53 @@ def mark(df: DataFrame, *cols: Column) -> tuple:
     return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, shared: Shared, max_rounds: int = 60) -> DataFrame:
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each node of the edges of one partition the smallest node it reaches
+    over them. At CONTRACT nodes what is there goes out, so memory is bounded."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        ends = [(x, root(x)) for x in list(parent)]
+        u, v = ([e[k] for e in ends if e[0] != e[1]] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            a, c = root(u), root(v)
+            if a != c:
+                parent[max(a, c)] = min(a, c)
+        if len(parent) >= CONTRACT:
+            yield stars()
+            parent.clear()
+    if parent:
+        yield stars()
+
+
+def components(edges: DataFrame, shared: Shared, max_rounds: int = 80) -> DataFrame:
     """(node, component): for each node of ``edges(u, v)`` the smallest node that
-    it reaches. Alternating large-star and small-star steps, each written to the
-    shared folder; every step is joins and minima, so a node with very many
-    neighbours is pre-aggregated and its join can be split.
+    it reaches. In each round every edge goes to the partitions of both its ends,
+    which replace what they hold by stars around the smallest nodes; so a node
+    meets the neighbours of its neighbours, and paths shrink by half. A round is
+    one shuffle, written to the shared folder; it ends when nothing changes.
     """
-    pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = shared.keep(pairs)
-    before = mark(now, F.col("u"), F.col("v"))
+    pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    before, now = None, pairs
     for _ in range(max_rounds):
-        if not before[0]:
-            break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(floor, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(floor.select("u", F.col("m").alias("v")))
-        new = shared.keep(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        sent = now.select("u", "v", F.explode(F.array("u", "v")).alias("key"))
+        new = shared.keep(sent.repartition("key").select("u", "v").mapInArrow(_contracted, "u long, v long"))
         after = mark(new, F.col("u"), F.col("v"))
-        shared.drop(now)
+        if before is not None:
+            shared.drop(now)
         now = new
-        if after == before:
+        if after == before or not after[0]:
             break
         before = after
     else:
         raise RuntimeError("components did not settle")
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return stars.unionByName(roots)
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component"))))
+    return now.select(ends.alias("e")).select("e.*").distinct()

@@ -28,8 +28,9 @@ from tomewright.llm.shingles import parity_bits, set_id, shingle_sets
 COUNTERS = 1 << 16
 BITS = 1024
 TILE = 2048
-#: Sets of a cluster in a block; a tile of the exact step holds two.
-BLOCK = 256
+#: Elements (of 8 bytes) of a cluster's sets in a block; a tile of the exact step
+#: holds two.
+BLOCK = 2_000_000
 
 
 def _counted(words: int):
@@ -184,11 +185,12 @@ def _bounds(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     return close.mapInArrow(_bounded(percent), "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, shared: Shared) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, light: DataFrame, percent: int, shared: Shared) -> DataFrame:
     """The pairs that link. Pairs of one cluster share tiles of two blocks of its
     sets, so that a set is sent once to a tile, not once for each of its pairs."""
     clusters = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), shared)
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    clusters = clusters.join(light.select(F.col("sid").alias("node"), "n"), "node")
+    sizes = clusters.groupBy("component").agg(F.sum("n").alias("size"))
     blocks = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).cast("int")
     seat = shared.keep(clusters.join(sizes, "component").select(F.col("node").alias("sid"), F.col("component").alias("cluster"), blocks.alias("block")))
     both = _both(pairs, seat, ["cluster", "block"])
@@ -306,16 +308,16 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
         # written, so that its true size decides how the texts are joined
         wanted = shared.keep(ids.join(light.select("sid", "doc_id"), "sid").coalesce(8))
         built = texts.join(wanted, "doc_id").select("sid", "text").mapInArrow(_built(words), "sid long, elements binary")
-        return shared.keep(built.dropDuplicates(["sid"]))
+        return shared.keep(built)  # a row given twice gives its set twice, which does no harm
 
     close = shared.keep(_bounds(pairs, light, percent))
     sets = sets_of(close)
-    linked = shared.keep(_verified(close, sets, percent, shared))
+    linked = shared.keep(_verified(close, sets, light, percent, shared))
     ends = linked.select(F.col("a").alias("u"), F.col("b").alias("v"))
     settled = shared.keep(components(ends, shared))
     further = shared.keep(_unsettled(held, light, settled, percent, shared))
     if not further.isEmpty():
-        more = _verified(further, sets.unionByName(sets_of(further, sets)), percent, shared)
+        more = _verified(further, sets.unionByName(sets_of(further, sets)), light, percent, shared)
         settled = components(ends.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))), shared)
     named = reps.join(settled.withColumnRenamed("node", "sid"), "sid")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
