@@ -204,12 +204,24 @@ def html_encoded(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[\u00a0-\u00ff]")).select("doc_id", html_encode(F.col("text")).alias("html"))
 
 
+@query()
+def html_encoded_whole(spark, sf_dir):
+    """Every text, those with Latin-1 letters too."""
+    return table(spark, sf_dir, "documents").select("doc_id", html_encode(F.col("text")).alias("html"))
+
+
 @query("SELECT doc_id, regexp_replace(regexp_replace(text, '(\\*\\*|__)(.+?)(\\*\\*|__)', '<strong>\\2</strong>', 'g'), '\\[([^\\]\\[]*)\\]\\([^()]*\\)', '\\1', 'g') AS html FROM documents WHERE NOT regexp_matches(text, '[*_\\\\]')")
 def markdown_inlines(spark, sf_dir):
     """Texts without stars, underscores and escapes, which must stay as they are but for links."""
     return table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[*_\\]")).select("doc_id", markdown_inline(F.col("text")).alias("html"))
 
 
+@query()
+def markdown_inlines_whole(spark, sf_dir):
+    """Every text, those with stars, underscores and escapes too."""
+    return table(spark, sf_dir, "documents").select("doc_id", markdown_inline(F.col("text")).alias("html"))
+
+
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE NOT regexp_matches(text, '[*_\\\\\\[#-]|[0-9]\\.'))
  SELECT doc_id, coalesce(string_agg('<p>' || trim(x) || CASE WHEN ends_with(x, '  ') THEN '<br/>' ELSE '' END || '</p>', '' ORDER BY i) FILTER (trim(x) <> ''), '') AS html FROM l GROUP BY doc_id""")
 def markdown_html(spark, sf_dir):
@@ -217,11 +229,23 @@ def markdown_html(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[*_\\\[#-]|[0-9]\.")).select("doc_id", markdown_lines(F.col("text")).alias("html"))
 
 
+@query()
+def markdown_html_whole(spark, sf_dir):
+    """Every text, those with rules, headings, lists, links and emphasis too."""
+    return table(spark, sf_dir, "documents").select("doc_id", markdown_lines(F.col("text")).alias("html"))
+
+
 @query("SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)%.*$', '', 'g'), '[{}$]', '', 'g'), '[ \\t]+', ' ', 'g'), chr(10), '') AS text FROM documents WHERE NOT contains(text, '\\')")
 def latex_plain_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(~F.col("text").contains("\\")).select("doc_id", plain_latex(F.col("text")).alias("text"))
 
 
+@query()
+def latex_plain_text_whole(spark, sf_dir):
+    """Every text, those with macros too."""
+    return table(spark, sf_dir, "documents").select("doc_id", plain_latex(F.col("text")).alias("text"))
+
+
 @query("SELECT p_partkey, p_size || CASE CASE WHEN p_size <= 20 THEN p_size ELSE p_size % 10 END WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END || '-level ' || p_type AS title FROM part")
 def ordinal_level(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.concat(ordinal(F.col("p_size")), F.lit("-level "), "p_type").alias("title"))
