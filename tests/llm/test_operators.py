@@ -11,10 +11,11 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tests.llm import fixtures as fx
-from tomewright.llm import bpe, licenses, pii, suffixes
+from tomewright.llm import bpe, common, licenses, pii, suffixes
 from tomewright.llm.buckets import batches, best_bounds
 from tomewright.llm.common import Shared, components
 from tomewright.llm.jaccard import jaccard_groups, without_near_copies
@@ -388,3 +389,20 @@ def test_components_in_small_steps(spark, monkeypatch):
     edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(600, 640)] + [(639, 100)] + [(900 - k, 899 - k) for k in range(20)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), Shared(spark)).collect()}
     assert got == {x: 100 if x < 700 else 880 for e in edges for x in e}
+
+
+def test_components_larger_than_a_partition_holds(spark, monkeypatch):
+    """A random tree, a hub of the largest name and a path; the workers get the small bound too."""
+    monkeypatch.setattr(common, "CONTRACT", 8)
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    cloudpickle.register_pickle_by_value(common)
+    try:
+        rng = random.Random(6)
+        edges = [(k, rng.randrange(k)) for k in range(1, 400)] + [(9999, k) for k in range(1000, 1300)] + [(k, k + 1) for k in range(2000, 2060)]
+        rng.shuffle(edges)
+        got = [tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long").repartition(8), Shared(spark)).collect()]
+    finally:
+        cloudpickle.unregister_pickle_by_value(common)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    assert sorted(got) == sorted((x, 0 if x < 400 else 2000 if 2000 <= x <= 2060 else 1000) for x in {x for e in edges for x in e})

@@ -69,36 +69,69 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def mark(df: DataFrame, *cols: Column) -> tuple:
-    """Row count and an order-free checksum, to see whether a table changed."""
-    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))).first())
-
-
-def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contracted(most: int):
     """For each node of the edges of one partition the smallest node it reaches
-    over them. At CONTRACT nodes what is there goes out, so memory is bounded."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
-
-    def stars() -> pa.RecordBatch:
-        ends = [(x, root(x)) for x in list(parent)]
-        u, v = ([e[k] for e in ends if e[0] != e[1]] for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    for b in batches:
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            a, c = root(u), root(v)
-            if a != c:
-                parent[max(a, c)] = min(a, c)
-        if len(parent) >= CONTRACT:
+    over them. At ``most`` nodes what is there goes out, so memory is bounded;
+    what was connected stays so, but may be in several stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        def stars() -> pa.RecordBatch:
+            ends = [(x, root(x)) for x in list(parent)]
+            u, v = ([e[k] for e in ends if e[0] != e[1]] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                a, c = root(u), root(v)
+                if a != c:
+                    parent[max(a, c)] = min(a, c)
+            if len(parent) >= most:
+                yield stars()
+                parent.clear()
+        if parent:
             yield stars()
-            parent.clear()
-    if parent:
-        yield stars()
+
+    return run
+
+
+def _with_least(edges: DataFrame, key: str, most: int) -> DataFrame:
+    """``edges(u, v)``, u > v, with m: the smallest node next to the end ``key``, or
+    that end itself. Minima are aggregated before the shuffle; those of ends with
+    over ``most`` edges, which are few, are broadcast, so no task gets a hub."""
+    least = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
+    hubs = edges.groupBy(F.col(key).alias("node")).count().where(F.col("count") > most).select("node")
+    hubs = F.broadcast(hubs.join(least, "node", "left").select(F.col("node").alias(key), F.coalesce("m", "node").alias("m")))
+    least = least.withColumnRenamed("node", key)
+    rest = edges.join(hubs.select(key), key, "left_anti").join(least, key, "left")
+    return edges.join(hubs, key).unionByName(rest).select("u", "v", F.coalesce("m", key).alias("m"))
+
+
+def _starred(edges: DataFrame, shared: Shared, most: int) -> DataFrame:
+    """One large-star and one small-star step: every edge goes to the smallest
+    node next to its smaller end, then to that next to its larger end. There are
+    never more distinct edges, and nothing must fit one partition."""
+    edges = shared.keep(edges.distinct())
+    large = shared.keep(_with_least(edges, "v", most).select("u", F.col("m").alias("v")).distinct())
+    both = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+    small = shared.keep(_with_least(large, "u", most).select(both.alias("e")).select("e.*").where("u <> v").distinct())
+    shared.drop(edges, large)
+    return small
+
+
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """Count of edges, and whether each node has one root that is itself no child."""
+    end = lambda node, root: F.struct(F.col(node).alias("node"), root.alias("root"))
+    ends = edges.select(F.explode(F.array(end("u", F.col("v")), end("v", F.col("v")))).alias("e")).select("e.*")
+    nodes = ends.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
+    n, split = nodes.agg(F.sum("n"), F.count_if(F.col("lo") < F.col("hi"))).first()
+    return (n or 0) // 2, not split
 
 
 def components(edges: DataFrame, shared: Shared, max_rounds: int = 80) -> DataFrame:
@@ -106,20 +139,27 @@ def components(edges: DataFrame, shared: Shared, max_rounds: int = 80) -> DataFr
     it reaches. In each round every edge goes to the partitions of both its ends,
     which replace what they hold by stars around the smallest nodes; so a node
     meets the neighbours of its neighbours, and paths shrink by half. A round is
-    one shuffle, written to the shared folder; it ends when nothing changes.
+    one shuffle, written to the shared folder. Where there may be more nodes than
+    a partition holds, rounds of large-star and small-star take over, which are
+    exact at any size. It ends when every node has one root and no root a root of
+    its own, which is checked in each round.
     """
-    pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    before, now = None, pairs
-    for _ in range(max_rounds):
-        sent = now.select("u", "v", F.explode(F.array("u", "v")).alias("key"))
-        new = shared.keep(sent.repartition("key").select("u", "v").mapInArrow(_contracted, "u long, v long"))
-        after = mark(new, F.col("u"), F.col("v"))
-        if before is not None:
-            shared.drop(now)
-        now = new
-        if after == before or not after[0]:
+    most = CONTRACT
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    kept, starring = [], False
+    for k in range(max_rounds):
+        if starring:
+            new = _starred(now, shared, most)
+        else:
+            sent = now.select("u", "v", F.explode(F.array("u", "v")).alias("key"))
+            new = shared.keep(sent.repartition("key").select("u", "v").mapInArrow(_contracted(most), "u long, v long"))
+        shared.drop(*kept)
+        now, kept = new, [new]
+        n, settled = _state(now)
+        if settled:
             break
-        before = after
+        # n edges have at most 2 * n nodes; the rounds that contract need few rounds where all fits
+        starring = starring or 2 * n >= most or k >= 20
     else:
         raise RuntimeError("components did not settle")
     ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component"))))
