@@ -182,6 +182,14 @@ def test_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_with_near_equal_pivots(spark):
+    """Copies but for rounding: any of them may be a pivot, and all must meet."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=16) * (1 + rng.integers(-3, 4, size=(200, 16)) * 2.0**-52)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    assert {tuple(r) for r in near_vectors(df, 0.9, cell_rows=20).collect()} == {(i, 199, 0, i == 0) for i in range(200)}
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1040)]

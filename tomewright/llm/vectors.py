@@ -20,6 +20,8 @@ from tomewright.llm.common import Shared, components
 
 #: Room for rounding in the bounds; pairs this near the threshold are computed again.
 SLACK = 1e-9
+#: The same for distances, which are roots of differences of cosines.
+ROOT_SLACK = 1e-7
 
 
 def _units(raw: list[bytes]) -> np.ndarray:
@@ -96,7 +98,8 @@ def near_vectors(
     for dim, n in usable.groupBy("dim").count().collect():
         k = min(most_pivots, -(-n // cell_rows))
         drawn = usable.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id", "raw"), "row").limit(k).select("raw").collect()
-        pivots[dim] = _units([bytes(r.raw) for r in drawn])
+        units = _units([bytes(r.raw) for r in drawn])
+        pivots[dim] = units[np.sort(np.unique(np.round(units, 12), axis=0, return_index=True)[1])]  # equal ones once
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,10 +127,11 @@ def near_vectors(
                 p, at = pivots[int(dim)], np.flatnonzero(dims == dim)
                 cos = _units(col["raw"].take(pa.array(at)).to_pylist()) @ p.T
                 radius = np.array([cells.get((int(dim), c), (0, -np.inf))[1] for c in range(len(p))])
-                apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))
+                used, which = np.unique(own[at], return_inverse=True)
+                apart = np.stack([np.linalg.norm(p - p[c], axis=1) for c in used])
                 plane = cos[np.arange(len(at)), own[at]][:, None] - cos
-                near = plane <= reach * apart[own[at]]
-                near &= np.sqrt(np.maximum(2 - 2 * cos, 0)) - radius <= reach
+                near = plane <= reach * apart[which] + SLACK
+                near &= np.sqrt(np.maximum(2 - 2 * cos, 0)) - radius <= reach + ROOT_SLACK
                 near &= np.arange(len(p)) < own[at][:, None]
                 i, c = np.nonzero(near)
                 at_all.append(at[i])
