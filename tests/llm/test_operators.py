@@ -329,6 +329,19 @@ def test_expressions():
     assert licenses.evaluate(licenses.postfix("MIT AND GPL-3.0"))[0] == 0.5
 
 
+def test_long_expressions(spark):
+    tag = "SPDX-License-Identifier:"
+    texts = [
+        f"{tag} {'MIT AND ' * 100}GPL-3.0-only",
+        f"{tag}{' ' * 900}(Apache-2.0{' ' * 900}OR MPL-2.0)\nAND GPL-2.0",
+        f"{tag} MIT {'prose ' * 200}{tag} GPL-2.0",
+        f"{tag} {'(' * 2000}MIT{')' * 2000} AND EPL-2.0, GPL-2.0",
+        f"{tag} {'MIT AND ' * 200_000}CC0-1.0",
+    ]
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.labels, r.score) for r in sorted(rows, key=lambda r: r.doc_id)] == [("gpl,mit", 0.5), ("apache,mpl", 0.9), ("gpl,mit", 0.5), ("epl,mit", 0.7), ("cc0,mit", 0.9)]
+
+
 # op10
 
 

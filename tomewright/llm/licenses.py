@@ -46,8 +46,8 @@ FAMILIES = {
 }
 
 _TAG = "spdx license identifier"
-_TAG_TEXT = re.compile(r"(?i)spdx-license-identifier:[ \t]*([A-Za-z0-9.+() \t-]{1,400})")
-_SYMBOL = re.compile(r"[()]|[A-Za-z0-9.+-]+")
+_TAG_END = re.compile(r"(?i)spdx-license-identifier:")
+_SYMBOL = re.compile(r"[ \t]*([()]|[A-Za-z0-9.+-]+)")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 #: Bytes to spaces unless they are in words; A-Z to a-z.
@@ -60,18 +60,16 @@ def family(identifier: str) -> str | None:
     return FAMILIES[max(fits, key=len)] if fits else None
 
 
-def postfix(expression: str) -> list[str] | None:
+def postfix(text: str, at: int = 0) -> list[str] | None:
     """Shunting-yard: ``with`` binds before ``and`` before ``or``. The longest
-    well-formed beginning is taken, as prose may follow; None without one."""
+    well-formed beginning of what stands from ``at`` to the end of the line is
+    taken, as prose may follow; None without one."""
     out: list[str] = []
     held: list[str] = []
-    best, operand = None, False
+    best, operand, depth = None, False, 0
 
-    def closed() -> list[str]:
-        return out + [x for x in reversed(held)]
-
-    for m in _SYMBOL.finditer(expression):
-        s = m[0]
+    while m := _SYMBOL.match(text, at):
+        s, at = m[1], m.end()
         low = s.lower()
         if low in _BINDS:
             if not operand:
@@ -84,22 +82,22 @@ def postfix(expression: str) -> list[str] | None:
             if operand:
                 break
             held.append(s)
+            depth += 1
         elif s == ")":
-            if not operand or "(" not in held:
+            if not operand or not depth:
                 break
             while held[-1] != "(":
                 out.append(held.pop())
             held.pop()
-            if "(" not in held:
-                best = closed()
+            depth -= 1
         else:
             if operand:
                 break
             out.append(s)
             operand = True
-            if "(" not in held:
-                best = closed()
-    return best
+        if operand and not depth:
+            best = len(out), held[::-1]  # outside parentheses at most three are held
+    return out[: best[0]] + best[1] if best else None
 
 
 def evaluate(symbols: list[str]) -> tuple[float, set[str]]:
@@ -138,8 +136,8 @@ class Scanner:
                 tagged = True
         score = min((FREEDOM[x] for x in base | more), default=None)
         if tagged:
-            for m in _TAG_TEXT.finditer(text):
-                if symbols := postfix(m[1]):
+            for m in _TAG_END.finditer(text):
+                if symbols := postfix(text, m.end()):
                     free, labels = evaluate(symbols)
                     more |= labels
                     score = free if score is None else min(score, free)
