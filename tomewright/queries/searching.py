@@ -254,11 +254,11 @@ def stream_search(spark, sf_dir):
 
 @query()
 def stream_windowed_counts(spark, sf_dir):
-    """Closed hourly windows of the event stream."""
+    """All hourly windows of the event stream, the last ones too."""
     from tomewright.operators.shared import shared_folder
 
     source = shared_folder(spark)
     table(spark, sf_dir, "events").write.parquet(source)
     events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    counts = windowed_counts(events, "ts", "event_type", late="0 seconds").select(F.col("window.start").alias("start"), "event_type", "n_events")
-    return drained(counts, shared_folder(spark), shared_folder(spark))
+    counts = windowed_counts(events, "ts", "event_type").select(F.col("window.start").alias("start"), "event_type", "n_events")
+    return drained(counts, shared_folder(spark), shared_folder(spark), mode="complete")

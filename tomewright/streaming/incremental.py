@@ -20,7 +20,11 @@ def windowed_counts(events: DataFrame, time: str, by: str, window: str = "1 hour
 
 
 def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run until all present files are read; the rows written to ``path``."""
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).format("parquet").start(path).awaitTermination()
+    """Run until all present files are read; the rows written to ``path``. In
+    ``complete`` mode each batch replaces them by all rows so far; none is late."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "complete":
+        writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    else:
+        writer.format("parquet").start(path).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
