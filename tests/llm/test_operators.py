@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tests.llm import fixtures as fx
-from tomewright.llm import bpe, common, licenses, pii, suffixes
+from tomewright.llm import bpe, common, jaccard, licenses, pii, suffixes
 from tomewright.llm.buckets import batches, best_bounds
 from tomewright.llm.common import Shared, components
 from tomewright.llm.jaccard import jaccard_groups, without_near_copies
@@ -211,12 +211,67 @@ def test_jaccard(docs, n, percent):
 
 
 def test_jaccard_with_small_tiles(docs, monkeypatch):
-    monkeypatch.setattr("tomewright.llm.jaccard.TILE", 3)
-    monkeypatch.setattr("tomewright.llm.jaccard.BLOCK", 200)
+    """Every group is cut into cells, with leaders, visitors and a later pass."""
+    monkeypatch.setattr("tomewright.llm.jaccard.CELL", 200)
+    monkeypatch.setattr("tomewright.llm.jaccard.LEAST", 1)
+    monkeypatch.setattr("tomewright.llm.jaccard.LEADERS", 1)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups(docs, 3, 70).collect()}
     assert got == fx.groups(PAIRS, 3, 70)
 
 
+def test_jaccard_of_one_large_group(spark, monkeypatch):
+    """Near copies of near copies, some texts apart, sets that only rows with a
+    null id have between others, and repeated ids."""
+    monkeypatch.setattr("tomewright.llm.jaccard.CELL", 1000)
+    monkeypatch.setattr("tomewright.llm.jaccard.LEAST", 1)
+    monkeypatch.setattr("tomewright.llm.jaccard.LEADERS", 2)
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for i in range(60):
+        w = list(base if i < 30 else texts[rng.randrange(i)].split())
+        for _ in range(rng.choice((1, 2, 6))):
+            w[rng.randrange(len(w))] = f"v{i}"
+        texts.append(" ".join(w))
+    rows = [(i if i % 5 else None, t) for i, t in enumerate(texts)] + [(7, texts[9]), (7, texts[7])]
+    named = {i: t for i, t in enumerate(t for _, t in rows)}
+    real = fx.groups(list(named.items()), 3, 90)
+    least = {}
+    for k, (_, c) in real.items():
+        if rows[k][0] is not None:
+            least[c] = min(least.get(c, 10**9), rows[k][0])
+    expected = sorted((i or -1, real[k][0], least.get(real[k][1], -1)) for k, (i, _) in enumerate(rows))
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert sorted((r.doc_id or -1, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in jaccard_groups(df, 3, 90).collect()) == expected
+
+
+def test_jaccard_joins_through_null_ids(spark):
+    """Two documents that only a row without an id links."""
+    w = [f"w{k}" for k in range(60)]
+    a, c = [*w], [*w]
+    a[0], a[1], c[-1], c[-2] = "a0", "a1", "c0", "c1"
+    rows = [(1, " ".join(a)), (2, " ".join(c)), (None, " ".join(w))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard_groups(df, 3, 93).collect()} == {(1, 1), (2, 1), (None, 1)}
+    assert {(r.doc_id, r.component_id) for r in jaccard_groups(df.where("doc_id > 0"), 3, 93).collect()} == {(1, 1), (2, 2)}
+
+
+def test_jaccard_names_apart(spark):
+    """Sets whose 64-bit names are equal and their 128-bit names are not."""
+    rows = [(1, 5, 7, 1), (2, 5, 8, 2), (3, 6, 9, 3)]
+    out = jaccard._named_apart(spark.createDataFrame(rows, "doc_id long, sid long, check long, n int")).collect()
+    sids = {r.doc_id: r.sid for r in out}
+    assert sids[1] == 5 and sids[2] not in (5, 6) and sids[3] == 6
+
+
+def test_near_copies_of_repeated_ids_keep_other_texts(spark):
+    w = [f"w{k}" for k in range(40)]
+    rows = [(0, " ".join(w)), (1, " ".join([*w, "tail"])), (1, "another text that is like no other text here"), (1, "another text that is like no other text here")]
+    kept = without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [rows[0], rows[2], rows[2]]
+
+
 def test_jaccard_odd_rows(odd, empty):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles > 0, r.component_id) for r in jaccard_groups(odd).collect())
     assert got == [(False, 1, True, 1), (False, 1, True, 1), (False, 2, False, 2), (False, 3, True, 1), (False, 4, False, 4), (True, 0, False, None), (True, 0, True, 1)]
@@ -407,6 +462,7 @@ def test_pipeline(spark, docs, odd, empty, tmp_path):
 def test_components_in_small_steps(spark, monkeypatch):
     """Long paths and hubs, with partitions that must let go again and again."""
     monkeypatch.setattr("tomewright.llm.common.CONTRACT", 10)
+    monkeypatch.setattr("tomewright.llm.common.HUB", 3)
     edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(600, 640)] + [(639, 100)] + [(900 - k, 899 - k) for k in range(20)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), Shared(spark)).collect()}
     assert got == {x: 100 if x < 700 else 880 for e in edges for x in e}

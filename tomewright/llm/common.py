@@ -15,6 +15,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 #: Nodes that a partition holds at once while contracting edges.
 CONTRACT = 1_000_000
+#: Edges of one node that go to one task; of more, each part goes to another.
+HUB = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,25 +136,37 @@ def _state(edges: DataFrame) -> tuple[int, bool]:
     return (n or 0) // 2, not split
 
 
+def _sent(edges: DataFrame, n: int) -> DataFrame:
+    """Each edge to the partitions of both its ends. Those of a hub are spread:
+    each of its parts gives a star of its own, and these meet in the next round.
+    At most some thousands of nodes have that many of the ``n`` edges."""
+    most = max(HUB, n // 1000)
+    ends = edges.select("u", "v", F.explode(F.array("u", "v")).alias("key"))
+    hubs = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    hubs = hubs.select("key", F.ceil(F.col("n") / most).alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("u", "v"), "parts"), F.lit(0))
+    return ends.join(F.broadcast(hubs), "key", "left").withColumn("part", part).repartition("key", "part").select("u", "v")
+
+
 def components(edges: DataFrame, shared: Shared, max_rounds: int = 80) -> DataFrame:
     """(node, component): for each node of ``edges(u, v)`` the smallest node that
     it reaches. In each round every edge goes to the partitions of both its ends,
     which replace what they hold by stars around the smallest nodes; so a node
     meets the neighbours of its neighbours, and paths shrink by half. A round is
-    one shuffle, written to the shared folder. Where there may be more nodes than
+    one shuffle of the edges, written to the shared folder. Where there may be more nodes than
     a partition holds, rounds of large-star and small-star take over, which are
     exact at any size. It ends when every node has one root and no root a root of
     its own, which is checked in each round.
     """
     most = CONTRACT
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    kept, starring = [], False
+    now = shared.keep(now)
+    kept, starring, n = [now], False, now.count()
     for k in range(max_rounds):
         if starring:
             new = _starred(now, shared, most)
         else:
-            sent = now.select("u", "v", F.explode(F.array("u", "v")).alias("key"))
-            new = shared.keep(sent.repartition("key").select("u", "v").mapInArrow(_contracted(most), "u long, v long"))
+            new = shared.keep(_sent(now, n).mapInArrow(_contracted(most), "u long, v long"))
         shared.drop(*kept)
         now, kept = new, [new]
         n, settled = _state(now)

@@ -43,14 +43,23 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray
                 yield first + i, run[:0]
 
 
-def set_id(hashed: np.ndarray) -> int:
-    """A signed 64-bit name of the set."""
-    return int.from_bytes(hashlib.blake2b(hashed.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_name(hashed: np.ndarray) -> tuple[int, int]:
+    """A name of the set of 128 bits, as two signed numbers."""
+    raw = hashlib.blake2b(hashed.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def parity_bits(hashed: np.ndarray, bits: int) -> bytes:
+def parity_bits(hashed: np.ndarray) -> bytes:
     """Bit i: whether an odd number of hashes fall on i. Each element that two
     sets don't share turns over one bit, so the bits in which two signatures
-    differ are never more than those elements, however large the sets are."""
+    differ are never more than those elements. There are four to eight bits for
+    each element, 1024 at least, a power of two."""
+    bits = max(1024, 1 << (4 * len(hashed) - 1).bit_length())
     odd = np.bincount((hashed & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(signature: np.ndarray, size: int) -> np.ndarray:
+    """A signature cut to ``size`` numbers of 64 bits: what it would be with so
+    many bits. Both lengths are powers of two."""
+    return signature if len(signature) == size else np.bitwise_xor.reduce(signature.reshape(-1, size))
