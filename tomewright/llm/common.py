@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: White space that ends a word: space and the controls from tab to return.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Words of 64 bits of the filter that spares most rows a shuffle.
+FILTER = 1 << 17
+
 #: Nodes that a partition holds at once while contracting edges.
 CONTRACT = 1_000_000
 #: Edges of one node that go to one task; of more, each part goes to another.
@@ -67,6 +70,26 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def text_key(doc_id: str | Column, text_hash: str | Column) -> Column:
+    """What names a row by its id, null or not, and its text."""
+    return F.xxhash64(doc_id, text_hash)
+
+
+def may_be_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two parts: rows whose ``key`` may be among ``wanted``'s, and rows
+    whose key surely is not, so that only the first need a shuffle to be joined.
+    It goes by a bit for each of 64 * FILTER residues of the key: a table of
+    FILTER rows at most is broadcast, whatever the size of ``wanted``; where that
+    is very large the first part is nearly all of ``df``."""
+    word = lambda k: F.pmod(F.shiftrightunsigned(k, 6), F.lit(FILTER))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(k, F.lit(64)).cast("int"))
+    at, held = (f"_{uuid.uuid4().hex}" for _ in range(2))
+    words = wanted.groupBy(word(wanted_key).alias(at)).agg(F.bit_or(bit(wanted_key)).alias(held))
+    both = df.join(F.broadcast(words), word(key) == words[at], "left")
+    there = (F.coalesce(F.col(held), F.lit(0)).bitwiseAND(bit(key))) != 0
+    return tuple(both.where(x).drop(at, held) for x in (there, ~there))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

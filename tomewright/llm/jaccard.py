@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.llm.common import Shared, components, id_and_text, partitions
+from tomewright.llm.common import Shared, components, id_and_text, may_be_in, partitions, text_key
 from tomewright.llm.shingles import folded, parity_bits, set_name, shingle_sets
 
 #: Counters of element frequency; their number is fixed, so what is broadcast is too.
@@ -294,6 +294,7 @@ def _joined_tiles(rows: DataFrame, light: DataFrame, texts: DataFrame, words: in
     wanted = flags.groupBy("sid").agg(F.collect_set(tile).alias("tiles")).join(light, "sid")
     # written, so that its true size decides how the texts are joined
     wanted = shared.keep(wanted.select("sid", "check", "tiles", F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("text_hash")))
+    texts, _ = may_be_in(texts, text_key("doc_id", "text_hash"), wanted, text_key("at_id", "text_hash"))
     found = texts.join(wanted, (texts["text_hash"] == wanted["text_hash"]) & texts["doc_id"].eqNullSafe(wanted["at_id"]))
     kind = "array<struct<home: bigint, band: int, salt: int, comp: bigint, visit: boolean>>"
     built = found.select("text", "check", "sid", "tiles").mapInArrow(_built(words), f"sid long, elements binary, tiles {kind}")
@@ -317,6 +318,7 @@ def _links(seats: DataFrame, light: DataFrame, texts: DataFrame, words: int, per
     what is not in its largest component visits every cell within reach."""
     weight = F.sum(F.greatest("n", F.lit(LEAST)))
     sizes = seats.groupBy("home").agg(F.count(F.lit(1)).alias("k"), weight.alias("w")).where("k > 1").drop("k")
+    sizes = shared.keep(sizes)  # so that a join by a home of very many sets can be split
     members = shared.keep(seats.join(sizes, "home").withColumn("band", F.when(F.col("w") > CELL, _band(percent)).otherwise(-1)))
     large = members.where("band >= 0")
     cells = large.groupBy("home", "band").agg(F.ceil(weight / CELL).cast("int").alias("salts"))
@@ -419,5 +421,7 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_c
     groups = _grouped(docs, words, percent, id_col, text_col)
     gone = groups.where("doc_id is not null and n > 0 and not (doc_id <=> component_id and text_hash = component_hash)")
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = (docs[f"`{id_col}`"].cast("long") == gone["_id"]) & (F.xxhash64(docs[f"`{text_col}`"].cast("string")) == gone["_hash"])
-    return docs.join(gone, same, "left_anti")
+    gone = Shared(docs.sparkSession).keep(gone)
+    doc_id, text_hash = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    some, rest = may_be_in(docs, text_key(doc_id, text_hash), gone, text_key("_id", "_hash"))
+    return rest.unionByName(some.join(gone, (doc_id == F.col("_id")) & (text_hash == F.col("_hash")), "left_anti"))

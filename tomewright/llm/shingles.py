@@ -52,9 +52,9 @@ def set_name(hashed: np.ndarray) -> tuple[int, int]:
 def parity_bits(hashed: np.ndarray) -> bytes:
     """Bit i: whether an odd number of hashes fall on i. Each element that two
     sets don't share turns over one bit, so the bits in which two signatures
-    differ are never more than those elements. There are four to eight bits for
-    each element, 1024 at least, a power of two."""
-    bits = max(1024, 1 << (4 * len(hashed) - 1).bit_length())
+    differ are never more than those elements. There are two to four bits for
+    each element, 256 at least, a power of two."""
+    bits = max(256, 1 << (2 * len(hashed) - 1).bit_length())
     odd = np.bincount((hashed & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
