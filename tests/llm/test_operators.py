@@ -21,7 +21,7 @@ from tomewright.llm.common import Shared, components
 from tomewright.llm.jaccard import jaccard_groups, without_near_copies
 from tomewright.llm.packing import best_fit, pack_tokens
 from tomewright.llm.quality import quality
-from tomewright.llm.repeats import remove_repeats
+from tomewright.llm.repeats import remove_repeats, without_repeats
 from tomewright.llm.shard import shard_by_bytes, write_shards
 from tomewright.llm.vectors import near_vectors
 
@@ -65,15 +65,33 @@ def test_repeats(docs):
 
 
 def test_repeats_in_large_buckets(docs, monkeypatch):
-    monkeypatch.setattr("tomewright.llm.repeats.BUCKET", 2)
-    from tomewright.llm import repeats
+    """Every bucket is dealt anew by the outer bytes of its passages."""
+    monkeypatch.setattr("tomewright.llm.repeats.BUCKET", 1)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs).collect()}
+    assert got == fx.repeats(PAIRS)
 
-    pieces = [("k", b"a" * 50 + bytes([65 + i]) * 60, i, 0) for i in range(5)]
-    import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([1] * 5), pa.array([p[1] for p in pieces]), pa.array([p[2] for p in pieces]), pa.array([0] * 5, pa.int32())], names=["key", "piece", "doc_id", "start"])
-    out = [r for b in repeats._scan(100)(iter([batch])) for r in b.to_pylist()]
-    assert len(out) == 5 * 11 and all(r["digest"] for r in out)
+def test_repeats_of_a_hot_passage(spark):
+    """One passage in most texts, many of them copies, over many partitions."""
+    rng = random.Random(3)
+    passage = fx.words(rng, 60)
+    texts = [f"{fx.words(rng, 20)} {passage} {fx.words(rng, 20)}" for _ in range(60)]
+    rows = [(i, texts[i % 60 if i < 100 else 7]) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect()}
+    assert got == fx.repeats(rows)
+
+
+def test_repeats_of_repeated_ids(spark, monkeypatch):
+    """Texts of one id are cut each by itself, and rows go by id and text."""
+    u, v = "the first text is " + "long " * 4 + fx.words(random.Random(5), 40), fx.words(random.Random(6), 40)
+    rows = [(0, u), (1, u + " tail of row one"), (1, v), (1, v), (None, u), (2, "short"), (2, None), (3, v)]
+    out = without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, out), key=key) == sorted([(0, u), (1, " tail of row one"), (1, v), (1, v), (None, u), (2, "short"), (2, None)], key=key)
+    monkeypatch.setattr("tomewright.llm.repeats._apart", lambda facts: [r.name for r in facts.select("name").limit(2).collect()])
+    again = without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, again), key=key) == sorted(map(tuple, out), key=key)
 
 
 def test_repeats_odd_rows(odd, empty):

@@ -18,16 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.llm.common import Shared, id_and_text
+from tomewright.llm.common import Shared, id_and_text, may_be_in, partitions, text_key
 from tomewright.llm.rolling import BASE, byte_chunks, hashes, mix, sums
 from tomewright.llm.suffixes import common_prefixes, keys, suffix_array
 
 GRAM = 32
 #: Symbols in one suffix array; buckets are never split between arrays.
 ARRAY = 1 << 20
-#: Distinct pieces of one bucket that go into one array; larger buckets are
-#: compared passage by passage.
+#: Distinct pieces of one bucket that go into one array; the passages of larger
+#: buckets are dealt anew, by their outer bytes.
 BUCKET = 20_000
+#: Bytes at each end of a passage by which a large bucket is dealt anew.
+OUTER = 24
+#: Digests of texts that a task remembers, so that it cuts copies once.
+SEEN = 1_000_000
 
 
 def _window_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -81,86 +85,104 @@ def _own_repeats(raw: bytes, at: np.ndarray, key: np.ndarray, size: np.ndarray,
 
 
 def _cuts(length: int):
-    """The pieces of each text: doc_id, key, first passage and their number.
-    Pieces that a text holds again are ``again``, with the bytes they cover: rows
-    that are done, and so have a key of their own."""
+    """The pieces of each text that the task meets first: name, key, first passage
+    and their number. Pieces that a text holds again are ``again``, with the bytes
+    they cover: rows that are done, and so have a key of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
-            ids = b.column(0).to_numpy()
+            names = b.column(0).to_numpy()
             for first, data, offsets in byte_chunks(b.column(1)):
                 out: list[list[np.ndarray]] = [[], [], [], [], []]
                 for r, (i, j) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True), first):
-                    at, key = _cut(data[i:j], length)
-                    if not len(at):
+                    if j - i < length:
+                        continue
+                    raw = data[i:j].tobytes()
+                    digest = hashlib.blake2b(raw, digest_size=16).digest()
+                    if digest in seen:
                         continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(digest)
+                    at, key = _cut(data[i:j], length)
                     size = np.diff(at, append=j - i - length + 1)
-                    keep, spans = _own_repeats(data[i:j].tobytes(), at, key, size, length)
+                    keep, spans = _own_repeats(raw, at, key, size, length)
                     done = np.array(spans, np.int64).reshape(-1, 2)
-                    own = mix(done[:, 0].astype(np.uint64) + np.uint64(ids[r] & 0xFFFFFFFF) * np.uint64(BASE)).view(np.int64)
+                    own = mix(done[:, 0].astype(np.uint64) + names[r : r + 1].view(np.uint64) * np.full(1, BASE, np.uint64)).view(np.int64)
                     for o, x, y in zip(out[1:], (key[keep], at[keep], size[keep], np.zeros(int(keep.sum()), bool)), (own, done[:, 0], done[:, 1] - done[:, 0], np.ones(len(done), bool)), strict=True):
                         o += [x, y]
-                    out[0].append(np.full(int(keep.sum()) + len(done), ids[r]))
+                    out[0].append(np.full(int(keep.sum()) + len(done), names[r]))
                 if out[0]:
                     cols = [np.concatenate(o) for o in out]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4])],
-                        names=["doc_id", "key", "start", "n", "again"],
+                        names=["name", "key", "start", "n", "again"],
                     )
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key (the second column) those whose key isn't alone, and
-    those that are done. One row waits for its successor; a key that very many
-    have needs no room."""
-    last, linked = None, False
+    """Of rows sorted by key, name and start those whose key isn't alone, and those
+    that are done. The same place of copies of one text is one. One row waits for
+    its successor; a key that very many have needs no room. A key at an end of the
+    partition may go on in the next, so its rows stay."""
+    last, linked, first_key = None, True, None
     for b in batches:
         if not b.num_rows:
             continue
         b = b if last is None else pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
-        key, again = b.column(1).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)
+        name, key, start = (b.column(i).to_numpy() for i in range(3))
+        first_key = key[0] if first_key is None else first_key
+        same = np.zeros(len(key), bool)
+        same[1:] = (key[1:] == key[:-1]) & (name[1:] == name[:-1]) & (start[1:] == start[:-1])
+        fresh = np.flatnonzero(~same)
+        b, key = b.take(pa.array(fresh)), key[fresh]
+        again = b.column(4).to_numpy(zero_copy_only=False)
         same = np.zeros(len(key), bool)
         same[1:] = key[1:] == key[:-1]
         same[0] = linked
-        keep = same | again
+        keep = same | again | (key == first_key)
         keep[:-1] |= same[1:]
         keep[-1] = False
         if keep.any():
             yield b.filter(pa.array(keep))
         last, linked = b.slice(len(key) - 1), bool(same[-1])
-    if last is not None and (linked or last.column(4)[0].as_py()):
+    if last is not None:
         yield last
 
 
 def _pieces(length: int):
-    """The bytes of the wanted pieces of each text."""
+    """The bytes of the wanted pieces of each text: doc_id, name, text and found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, found = b.column(0).to_pylist(), b.column(2)
+            names = b.column(3).to_pylist()
             for first, data, offsets in byte_chunks(b.column(1)):
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 for r, (i, j) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True), first):
                     raw = data[i:j].tobytes()
                     key, start, size = (found[r].values.field(k).to_numpy() for k in range(3))
                     out[0] += [ids[r]] * len(key)
+                    out[4] += [names[r]] * len(key)
                     out[1].append(key)
                     out[2].append(start)
                     out[3] += [raw[s : s + n + length - 1] for s, n in zip(start.tolist(), size.tolist(), strict=True)]
                 if out[0]:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(out[0], pa.int64()), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2]).astype(np.int32)), pa.array(out[3], pa.binary())],
-                        names=["doc_id", "key", "start", "piece"],
+                        [pa.array(out[0], pa.int64()), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2]).astype(np.int32)), pa.array(out[3], pa.binary()), pa.array(out[4], pa.int64())],
+                        names=["doc_id", "key", "start", "piece", "name"],
                     )
 
     return run
 
 
-def repeated_in(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(doc, from, to) of passages of ``pieces`` that an earlier one holds too.
-    ``doc`` and ``start`` say where the first occurrence of each piece stands."""
+def repeated_in(pieces: list[bytes], doc: np.ndarray, name: np.ndarray, start: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """(name, from, to) of passages of ``pieces`` that an earlier one holds too.
+    ``doc``, ``name`` and ``start`` say where the first occurrence of each piece
+    stands; they come in this order."""
     sizes = np.array([len(p) for p in pieces])
     ends = np.cumsum(sizes + 1)
     begin = ends - sizes - 1
@@ -181,7 +203,7 @@ def repeated_in(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, length:
     whole = place + length < ends[piece]  # not over a separator
     place, of_class, piece = place[whole], of_class[whole], piece[whole]
     at = start[piece] + place - begin[piece]
-    by = np.lexsort((at, doc[piece], of_class))
+    by = np.lexsort((at, name[piece], doc[piece], of_class))
     later = np.zeros(len(by), bool)
     later[1:] = of_class[by][1:] == of_class[by][:-1]
     gone = by[later]
@@ -190,20 +212,26 @@ def repeated_in(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, length:
     piece, at = piece[by], at[by]
     cut = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else np.zeros(0, int)
     last = np.append(cut[1:], len(at)) - 1
-    return [(int(doc[piece[i]]), int(at[i]), int(at[j]) + length) for i, j in zip(cut, last, strict=True)]
+    return [(int(name[piece[i]]), int(at[i]), int(at[j]) + length) for i, j in zip(cut, last, strict=True)]
 
 
-def _scan(length: int):
-    """From pieces sorted by key, bytes, doc_id and start: the spans of pieces
+def _scan(length: int, most: int | None):
+    """From pieces sorted by key, bytes, doc_id, name and start: the spans of pieces
     that stood before, and those that suffix arrays find, over runs of whole
-    buckets. The passages of a bucket beyond BUCKET go out with their digests."""
-    names, kinds = ["doc_id", "from", "to", "digest"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    buckets. A bucket of over ``most`` pieces goes out again passage by passage,
+    under keys of their outer bytes, which equal passages share."""
+    names, kinds = ["name", "from", "to", "doc_id", "key", "piece"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    def passages(piece: bytes, doc: int, start: int) -> list[tuple]:
-        return [(doc, start + i, start + i + length, hashlib.md5(piece[i : i + length]).digest()) for i in range(len(piece) - length + 1)]
+    def dealt(key: int, piece: bytes, doc: int, name: int, start: int) -> list[tuple]:
+        out = []
+        for i in range(len(piece) - length + 1):
+            one = piece[i : i + length]
+            digest = hashlib.blake2b(key.to_bytes(8, "little", signed=True) + one[:OUTER] + one[-OUTER:], digest_size=8).digest()
+            out.append((name, start + i, start + i + length, doc, int.from_bytes(digest, "little", signed=True), one))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []  # distinct pieces of finished buckets with more than one
@@ -213,11 +241,11 @@ def _scan(length: int):
         size, over = 0, False
 
         def found(rows: list[tuple]) -> list[tuple]:
-            doc, start = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-            return [(*x, None) for x in repeated_in([r[0] for r in rows], doc, start, length)]
+            doc, name, start = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+            return [(*x, None, None, None) for x in repeated_in([r[0] for r in rows], doc, name, start, length)]
 
         for b in batches:
-            for k, piece, doc, start in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for k, piece, doc, name, start in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if k != key:
                     if len(now) > 1:
                         done += now
@@ -227,17 +255,17 @@ def _scan(length: int):
                         out += found(done)
                         done, size = [], 0
                 if piece == before:
-                    if (doc, start) != place:  # else one row given twice
-                        out.append((doc, start, start + len(piece), None))
+                    if (name, start) != place:  # else one row given twice
+                        out.append((name, start, start + len(piece), None, None, None))
                 elif over:
-                    out += passages(piece, doc, start)
+                    out += dealt(k, piece, doc, name, start)
                 else:
-                    now.append((piece, doc, start))
-                    if len(now) > BUCKET:
+                    now.append((piece, doc, name, start))
+                    if most is not None and len(now) > most:
                         for r in now:
-                            out += passages(*r)
+                            out += dealt(k, *r)
                         now, over = [], True
-                before, place = piece, (doc, start)
+                before, place = piece, (name, start)
                 if len(out) >= 10_000:
                     yield batch(out)
                     out = []
@@ -279,50 +307,69 @@ def _rest(length: int):
 def _spans(texts: DataFrame, facts: DataFrame, length: int, shared: Shared) -> DataFrame:
     """doc_id, name, text and spans of the texts that lose a part. Of equal texts
     only the first is searched; the others go whole or stay whole."""
-    schema = "doc_id long, key long, start int, n int, again boolean"
-    cuts = texts.select("doc_id", "text").mapInArrow(_cuts(length), schema)
-    hits = shared.keep(cuts.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, schema))
-    first = facts.groupBy("name").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    hits = hits.join(first, "doc_id", "left_semi")
-    lists = hits.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("again"), F.struct("key", "start", "n"))).alias("found"))
-    own = hits.where("again").select("doc_id", F.col("start").alias("from"), (F.col("start") + F.col("n")).alias("to"))
-    held = shared.keep(texts.join(lists, "doc_id").select("doc_id", "text", "name", "found"))
-    pieces = held.select("doc_id", "text", "found").mapInArrow(_pieces(length), "doc_id long, key long, start int, piece binary")
-    pieces = pieces.select("key", "piece", "doc_id", "start").repartition("key").sortWithinPartitions("key", "piece", "doc_id", "start")
-    spans = shared.keep(pieces.mapInArrow(_scan(length), "doc_id long, from int, to int, digest binary"))
-    # buckets beyond one array: passage by passage, with minima that each task takes first
-    passage = spans.where("digest is not null")
-    least_doc = passage.groupBy("digest").agg(F.min("doc_id").alias("doc0"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    least = passage.join(least_doc, "digest").where("doc_id = doc0").groupBy("digest").agg(F.min("doc0").alias("doc0"), F.min("from").alias("from0"))
-    late = passage.join(least, "digest").where("doc_id <> doc0 or from <> from0")
-    each = spans.where("digest is null").select("doc_id", "from", "to").unionByName(late.select("doc_id", "from", "to")).unionByName(own)
-    lists = each.groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    return held.select("doc_id", "text", "name").join(lists, "doc_id")
+    schema = "name long, key long, start int, n int, again boolean"
+    cuts = texts.select("name", "text").mapInArrow(_cuts(length), schema)
+    order = ["key", "name", "start"]
+    dealt = cuts.repartitionByRange(partitions(texts.sparkSession), *order).sortWithinPartitions(*order)
+    hits = shared.keep(dealt.mapInArrow(_shared, schema))
+    lists = hits.groupBy("name").agg(F.collect_set(F.when(~F.col("again"), F.struct("key", "start", "n"))).alias("found"))
+    own = shared.keep(hits.where("again").select("name", F.col("start").alias("from"), (F.col("start") + F.col("n")).alias("to")))
+    first = facts.groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    held = shared.keep(texts.join(lists.join(first, "name"), ["name", "doc_id"]).select("doc_id", "text", "found", "name"))
+    shared.drop(hits)
+    pieces = held.mapInArrow(_pieces(length), "doc_id long, key long, start int, piece binary, name long")
+    found = "name long, from int, to int, doc_id long, key long, piece binary"
+
+    def scanned(rows: DataFrame, most: int | None) -> DataFrame:
+        cols = ["key", "piece", "doc_id", "name", "start"]
+        return shared.keep(rows.select(*cols).repartition("key").sortWithinPartitions(*cols).mapInArrow(_scan(length, most), found))
+
+    spans = scanned(pieces, BUCKET)
+    anew = spans.where("piece is not null").withColumnRenamed("from", "start")
+    each = spans.where("piece is null").select("name", "from", "to")
+    if not anew.isEmpty():
+        each = each.unionByName(scanned(anew, None).select("name", "from", "to"))
+    lists = each.unionByName(own).groupBy("name").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    return held.select("doc_id", "text", "name").join(lists, "name")
+
+
+def _apart(facts: DataFrame) -> list[int]:
+    """Names that two different texts share; of 64-bit names these are very few."""
+    twice = facts.groupBy("name").agg(F.min("sha256").alias("lo"), F.max("sha256").alias("hi")).where("lo < hi")
+    return [r.name for r in twice.select("name").collect()]
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, kept_text]) for every row.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text_hash, kept, kept_text]) for every row.
 
     Texts are UTF-8 bytes (null: none). Each byte that a ``length``-byte string
     covers which also starts earlier, in a document of smaller id or further
     front in its own, is removed, judged on the input; matches never cross
     documents. ``kept`` is what remains, as bytes, and null where nothing was
-    removed; ``kept_text`` the same without characters that a cut has split. Ids must be unique and not null for this order to exist: rows with a
-    null id are passed through whole, rows that repeat an id with another text
-    are cut by the spans of both, and equal rows with equal ids count as one.
+    removed; ``kept_text`` the same without characters that a cut has split;
+    ``text_hash``, xxhash64 of the text, tells which of several rows of an id is
+    meant. Rows with a null id are passed through whole. Different texts of one id
+    are documents of their own, in the order of their hashes; rows equal in id and
+    text count as one. Equal texts are found by hash and SHA-256. A text is read
+    whole and must fit a task; empty tables give no rows.
     """
     shared = Shared(docs.sparkSession)
     all_texts = id_and_text(docs, id_col, text_col)
     raw = F.coalesce("text", F.lit("")).cast("binary")
+    sha = F.sha2(raw, 256)
     texts = all_texts.where("doc_id is not null").withColumn("name", F.xxhash64(raw))
-    facts = shared.keep(texts.select("doc_id", "name", F.octet_length(raw).alias("n_bytes"), F.sha2(raw, 256).alias("sha256")))
+    fact = lambda t: t.select("doc_id", "name", F.xxhash64("text").alias("text_hash"), F.octet_length(raw).alias("n_bytes"), sha.alias("sha256"))
+    facts = shared.keep(fact(texts))
+    if twice := _apart(facts):
+        texts = texts.withColumn("name", F.when(F.col("name").isin(twice), F.xxhash64(sha)).otherwise(F.col("name")))
+        facts = shared.keep(fact(texts))
     held = _spans(texts, facts, length, shared)
     cut = held.select("doc_id", "text", "spans", "name").mapInArrow(_rest(length), "doc_id long, name long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
     if not keep_text:
         cut = cut.drop("kept", "kept_text")
-    cut = cut.dropDuplicates(["doc_id", "name"])
+    cut = cut.drop("doc_id").dropDuplicates(["name"])
     first = facts.groupBy("name").agg(F.min("doc_id").alias("first_id"))
-    out = facts.join(first, "name").join(cut, ["doc_id", "name"], "left")
+    out = facts.join(first, "name").join(cut, "name", "left")
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= length)
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     cols = [
@@ -333,6 +380,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
         F.when(copy, empty).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
     ]
     if keep_text:
+        cols.append(F.col("text_hash"))
         cols.append(F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
         cols.append(F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
     nameless = all_texts.where("doc_id is null").select(
@@ -341,6 +389,21 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
         F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
-        *([F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("kept_text")] if keep_text else []),
+        *([F.xxhash64("text").alias("text_hash"), F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("kept_text")] if keep_text else []),
     )
     return out.select(*cols).unionByName(nameless)
+
+
+def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with what ``remove_repeats`` keeps of each text, and without the rows
+    of which nothing is left. A row is changed by the result of its own id and
+    text only; rows that lose nothing, also null ids and empty texts, are as they
+    were."""
+    shared = Shared(docs.sparkSession)
+    cut = remove_repeats(docs, length, True, id_col, text_col).where("n_removed > 0").dropDuplicates(["doc_id", "text_hash"])
+    cut = shared.keep(cut.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("kept_text").alias("_kept")))
+    doc_id, text_hash = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    some, rest = may_be_in(docs, text_key(doc_id, text_hash), cut, text_key("_id", "_hash"))
+    some = some.join(cut, (doc_id == F.col("_id")) & (text_hash == F.col("_hash")), "left").where("_kept is null or _kept <> ''")
+    text = F.coalesce("_kept", F.col(f"`{text_col}`"))
+    return rest.unionByName(some.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]))
