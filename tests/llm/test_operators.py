@@ -329,6 +329,37 @@ def test_pii_discovers_by_context(spark):
     assert found[8].n_email == 0 and len(found) == 9
 
 
+def test_pii_finds_what_no_finder_knows(spark, odd):
+    """Tokens of other forms where seeds stand are found, ordinary ones are left."""
+    rng = random.Random(8)
+    w = lambda: fx.words(rng, 4)
+    new = ["jo77_at_nowhere2", "ann4_99_home"]
+    texts = [f"{w()} reach me: u{i}x@mail{i}.org {w()}" for i in range(9)] + [f"{w()} reach me: {t} {w()}" for t in new]
+    texts += [f"{w()} lot b{i}{i}77x4 {w()}" for i in range(9)] + [f"{w()} {'x' * 500}{i} {'9' * 300} {w()}" for i in range(3)]
+    rows = [*enumerate(texts), (100, None), (None, texts[9]), (None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.spans) for r in pii.scan_pii(df).collect())
+    expected = []
+    for i, t in rows:
+        at = next((m for x in new if (m := (t or "").find(x)) >= 0), None)
+        end = at is not None and next(at + len(x) for x in new if x in t)
+        base = [f"email:{a}:{b}" for a, b in fx.base_pii(t)["email"]]
+        expected.append((-1 if i is None else i, ",".join(base + ([f"email:{at}:{end}"] if at is not None else []))))
+    assert got == sorted(expected)
+    hidden = [r.text for r in pii.masked(df).collect()]
+    assert not any(x in (t or "") for t in hidden for x in (*new, "@")) and sum(t in texts for t in hidden) == 12
+    assert pii.found_again(odd).collect() == []
+
+
+def test_masking_takes_each_row_by_its_own_text(spark):
+    """Rows that repeat an id, or have none, with discovered identifiers."""
+    texts = [f"the key = {hashlib.md5(b'%d' % i).hexdigest()} is here" for i in range(12)] + ["the key = ZKIA0011-zz is here"]
+    innocent = "an innocent sentence that has nothing secret in it at all"
+    rows = [(i, t) for i, t in enumerate(texts)] + [(12, innocent), (None, texts[12]), (None, innocent)]
+    out = [r.text for r in pii.masked(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(out) == sorted(["the key = <secret> is here"] * 14 + [innocent] * 2)
+
+
 def test_masking(spark, odd, empty):
     rows = [(1, PII[0], 5), (2, None, 6), (None, "a1@b.cc", 7), (3, PII[2], 8)]
     got = {r.extra: r.text for r in pii.masked(spark.createDataFrame(rows, "doc_id long, text string, extra int")).collect()}
@@ -475,6 +506,27 @@ def test_pipeline(spark, docs, odd, empty, tmp_path):
             assert len((cut[i].text or "").encode()) <= n - gone and cut[i].n_chars == len(cut[i].text)
     for _, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, odd, SF_DIR).columns == odd.columns
+    assert stages["packing"](spark, odd, SF_DIR).count() == 7
+
+
+def test_stages_take_each_row_by_its_own_text(spark):
+    """Whole texts of rows that repeat an id, have none or are given twice."""
+    import corpus_pipeline
+
+    from tests.conftest import SF_DIR
+
+    rng = random.Random(21)
+    u, v, x = (fx.words(rng, 50) for _ in range(3))
+    rows = [(0, u), (1, u + " end"), (1, v), (1, v), (None, u), (None, f"{x} me@here.org"), (2, f"{x} me@here.org"), (2, x), (3, None), (3, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], fx.SCHEMA)
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")
+    texts = lambda name: sorted(((r.doc_id, r.text) for r in stages[name](spark, df, SF_DIR).collect()), key=key)
+    near = texts("n-gram Jaccard join")
+    assert near in [sorted([(0, u), (1, v), (1, v), (None, u), (None, f"{x} me@here.org"), twin, (3, None), (3, "")], key=key) for twin in ((2, x), (2, f"{x} me@here.org"))]
+    cut = dict(enumerate(texts("suffix-array dedup")))
+    assert [r for r in cut.values() if r[0] in (0, 1, None)] == sorted([(0, u), (1, " end"), (1, v), (1, v), (None, u), (None, f"{x} me@here.org")], key=key)
+    assert texts("PII") == sorted([(i, t and t.replace("me@here.org", "<email>")) for i, t in rows], key=key)
 
 
 def test_components_in_small_steps(spark, monkeypatch):

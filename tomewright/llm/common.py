@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: under ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a local folder is
-    made and kept in the session for later calls.
+    Only where that setting is absent and Spark runs on this machine alone, as in
+    tests, a local folder is made and kept in the session for later calls.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tomewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/tables/{uuid.uuid4().hex}"
@@ -46,6 +50,9 @@ class Shared:
     step reads, so that the disk holds only what is still needed.
     """
 
+    #: All tables that this session has made and not dropped.
+    made: ClassVar[list[str]] = []
+
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
@@ -54,14 +61,47 @@ class Shared:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
+        self.made.append(path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             path, _ = self.paths.pop(id(df), (None, None))
             if path:
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                self.made.remove(path)
+                delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def staged(stage: Stage) -> Stage:
+    """A stage of a pipeline, whose result is written before the next one begins:
+    then the tables of the stages before are deleted, unless ``docs`` reads them."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles() if _staged else []
+        for path in [p for p in _staged if not any(p in f for f in files)]:
+            _staged.remove(path)
+            if path in Shared.made:
+                Shared.made.remove(path)
+                delete(spark, path)
+        before = set(Shared.made)
+        out = stage(spark, docs, sf_dir)
+        _staged.extend(p for p in Shared.made if p not in before)
+        return out
+
+    return run
+
+
+#: Tables of the stages called last.
+_staged: list[str] = []
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
