@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as
 Parquet and read again for the next one. All but the last return the columns of
-``docs``.
+``docs``. Rows go by id and text, so ids may repeat or be null; null texts and
+equal rows are rows like others; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.llm.buckets import batches
-from tomewright.llm.common import shared_folder, table
+from tomewright.llm.common import delete, shared_folder, staged, table
 from tomewright.llm.jaccard import without_near_copies
 from tomewright.llm.pii import masked
 from tomewright.llm.quality import quality
-from tomewright.llm.repeats import remove_repeats
+from tomewright.llm.repeats import without_repeats
 
 
 def counted_again(docs: DataFrame) -> list[Column]:
@@ -39,9 +40,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 100 bytes or more that stand earlier; texts
     of which nothing is left go. A character that a cut splits goes with it."""
-    cut = remove_repeats(docs, length=100, keep_text=True).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("_left"))
-    joined = docs.join(cut.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("text", F.coalesce("_left", "text"))
-    return joined.where("_left is null or _left <> ''").select(*counted_again(docs))
+    return without_repeats(docs, length=100).select(*counted_again(docs))
 
 
 def masked_identifiers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +54,11 @@ def length_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality rules", good_documents),
-    ("n-gram Jaccard join", one_of_near_copies),
-    ("suffix-array dedup", without_repeated_passages),
-    ("PII", masked_identifiers),
-    ("packing", length_batches),
+    ("quality rules", staged(good_documents)),
+    ("n-gram Jaccard join", staged(one_of_near_copies)),
+    ("suffix-array dedup", staged(without_repeated_passages)),
+    ("PII", staged(masked_identifiers)),
+    ("packing", staged(length_batches)),
 ]
 
 #: Stages hash and score outside what SQL can express; tests hold them against brute force.
@@ -67,10 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder; what only
+    earlier stages needed is deleted on the way."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         path = shared_folder(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
