@@ -288,15 +288,7 @@ def _rest(length: int):
             cols: list[list] = [[] for _ in kinds]
             for text, spans in zip(b.column(1), b.column(2), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                kept, removed, runs, end = [], 0, 0, 0
-                for s in sorted((x["from"], x["to"]) for x in spans.as_py()):
-                    if s[0] > end or not runs:
-                        kept.append(raw[end : s[0]])
-                        runs += 1
-                        end = s[0]
-                    removed += max(0, s[1] - end)
-                    end = max(end, s[1])
-                rest = b"".join([*kept, raw[end:]])
+                rest, removed, runs = _without(raw, [(x["from"], x["to"]) for x in spans.as_py()])
                 for c, v in zip(cols, (removed, runs, hashlib.sha256(rest).hexdigest(), rest, rest.decode("utf-8", "ignore")), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "name", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
@@ -304,8 +296,8 @@ def _rest(length: int):
     return run
 
 
-def _spans(texts: DataFrame, facts: DataFrame, length: int, shared: Shared) -> DataFrame:
-    """doc_id, name, text and spans of the texts that lose a part. Of equal texts
+def _spans(texts: DataFrame, facts: DataFrame, length: int, shared: Shared) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, name) of the texts that may lose a part, and (name, spans). Of equal texts
     only the first is searched; the others go whole or stay whole."""
     schema = "name long, key long, start int, n int, again boolean"
     cuts = texts.select("name", "text").mapInArrow(_cuts(length), schema)
@@ -330,7 +322,7 @@ def _spans(texts: DataFrame, facts: DataFrame, length: int, shared: Shared) -> D
     if not anew.isEmpty():
         each = each.unionByName(scanned(anew, None).select("name", "from", "to"))
     lists = each.unionByName(own).groupBy("name").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    return held.select("doc_id", "text", "name").join(lists, "name")
+    return held.select("doc_id", "text", "name"), lists
 
 
 def _apart(facts: DataFrame) -> list[int]:
@@ -339,6 +331,24 @@ def _apart(facts: DataFrame) -> list[int]:
     return [r.name for r in twice.select("name").collect()]
 
 
+def _searched(all_texts: DataFrame, length: int, shared: Shared) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Facts of every row with an id, among them the first id that has its text and
+    whether it is a later copy; what ``_spans`` gives; whether rows repeat."""
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    sha = F.sha2(raw, 256)
+    texts = all_texts.where("doc_id is not null").withColumn("name", F.xxhash64(raw))
+    fact = lambda t: t.select("doc_id", "name", F.xxhash64("text").alias("text_hash"), F.octet_length(raw).alias("n_bytes"), sha.alias("sha256"))
+    facts = shared.keep(fact(texts))
+    if twice := _apart(facts):
+        texts = texts.withColumn("name", F.when(F.col("name").isin(twice), F.xxhash64(sha)).otherwise(F.col("name")))
+        facts = shared.keep(fact(texts))
+    held, lists = _spans(texts, facts, length, shared)
+    repeated = not facts.groupBy("doc_id", "name").count().where("count > 1").isEmpty()
+    first = facts.groupBy("name").agg(F.min("doc_id").alias("first_id"))
+    copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= length)
+    return facts.join(first, "name").withColumn("copy", copy), held, lists, repeated
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text_hash, kept, kept_text]) for every row.
 
@@ -355,22 +365,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
     """
     shared = Shared(docs.sparkSession)
     all_texts = id_and_text(docs, id_col, text_col)
-    raw = F.coalesce("text", F.lit("")).cast("binary")
-    sha = F.sha2(raw, 256)
-    texts = all_texts.where("doc_id is not null").withColumn("name", F.xxhash64(raw))
-    fact = lambda t: t.select("doc_id", "name", F.xxhash64("text").alias("text_hash"), F.octet_length(raw).alias("n_bytes"), sha.alias("sha256"))
-    facts = shared.keep(fact(texts))
-    if twice := _apart(facts):
-        texts = texts.withColumn("name", F.when(F.col("name").isin(twice), F.xxhash64(sha)).otherwise(F.col("name")))
-        facts = shared.keep(fact(texts))
-    held = _spans(texts, facts, length, shared)
-    cut = held.select("doc_id", "text", "spans", "name").mapInArrow(_rest(length), "doc_id long, name long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
+    facts, held, lists, repeated = _searched(all_texts, length, shared)
+    cut = held.join(lists, "name").select("doc_id", "text", "spans", "name")
+    cut = cut.mapInArrow(_rest(length), "doc_id long, name long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string").drop("doc_id")
     if not keep_text:
         cut = cut.drop("kept", "kept_text")
-    cut = cut.drop("doc_id").dropDuplicates(["name"])
-    first = facts.groupBy("name").agg(F.min("doc_id").alias("first_id"))
-    out = facts.join(first, "name").join(cut, "name", "left")
-    copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_bytes") >= length)
+    if repeated:
+        cut = cut.dropDuplicates(["name"])
+    out = facts.join(cut, "name", "left")
+    copy = F.col("copy")
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     cols = [
         F.col("doc_id"),
@@ -394,16 +397,45 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
     return out.select(*cols).unionByName(nameless)
 
 
+def _without(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """``raw`` without its spans, the bytes removed and the runs they form."""
+    kept, removed, runs, end = [], 0, 0, 0
+    for a, b in sorted(spans):
+        if a > end or not runs:
+            kept.append(raw[end:a])
+            runs += 1
+            end = a
+        removed += max(0, b - end)
+        end = max(end, b)
+    return b"".join([*kept, raw[end:]]), removed, runs
+
+
 def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with what ``remove_repeats`` keeps of each text, and without the rows
     of which nothing is left. A row is changed by the result of its own id and
     text only; rows that lose nothing, also null ids and empty texts, are as they
-    were."""
+    were. Of the rows, only those that lose something are shuffled."""
     shared = Shared(docs.sparkSession)
-    cut = remove_repeats(docs, length, True, id_col, text_col).where("n_removed > 0").dropDuplicates(["doc_id", "text_hash"])
-    cut = shared.keep(cut.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("kept_text").alias("_kept")))
+    facts, _, lists, repeated = _searched(id_and_text(docs, id_col, text_col), length, shared)
+    lost = facts.join(lists, "name", "left").where("copy or spans is not null")
+    lost = lost.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("copy").alias("_copy"), F.col("spans").alias("_spans"))
+    lost = shared.keep(lost.dropDuplicates(["_id", "_hash"]) if repeated else lost)
+    place = docs.columns.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, keep = [], []
+            for text, copy, spans in zip(b.column(place), b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True):
+                text, spans = text.as_py(), [(x["from"], x["to"]) for x in spans.as_py() or []]
+                if spans and not copy.as_py():
+                    text = _without(text.encode("utf-8", "surrogatepass"), spans)[0].decode("utf-8", "ignore")
+                texts.append(text)
+                keep.append(not copy.as_py() and not (spans and not text))
+            cols = list(b.columns[:-2])
+            cols[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-2]).filter(pa.array(keep, pa.bool_()))
+
     doc_id, text_hash = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
-    some, rest = may_be_in(docs, text_key(doc_id, text_hash), cut, text_key("_id", "_hash"))
-    some = some.join(cut, (doc_id == F.col("_id")) & (text_hash == F.col("_hash")), "left").where("_kept is null or _kept <> ''")
-    text = F.coalesce("_kept", F.col(f"`{text_col}`"))
-    return rest.unionByName(some.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]))
+    some, rest = may_be_in(docs, text_key(doc_id, text_hash), lost, text_key("_id", "_hash"))
+    some = some.join(lost, (doc_id == F.col("_id")) & (text_hash == F.col("_hash")), "left").drop("_id", "_hash")
+    return rest.unionByName(some.mapInArrow(cut, docs.schema))
