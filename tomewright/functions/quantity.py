@@ -37,13 +37,16 @@ def least_quantity(text: Column, units: dict[str, float]) -> Column:
     """The least of the valid alternatives ``<n> <unit>`` that ``or``, ``/`` and
     commas separate; null without one."""
     known = unit_map(units)
+    flat = F.regexp_replace(text, r"\s", " ")
+    alternatives = F.split(F.translate(F.regexp_replace(flat, " or ", ","), "/", ","), ",")
 
     def value(x: Column) -> Column:
-        n = F.regexp_extract(x, r"^([0-9]+)\s+(.+)$", 1)
-        unit = F.lower(F.regexp_extract(x, r"^([0-9]+)\s+(.+)$", 2))
-        return F.when(n != "", n.cast("double") * F.get(F.map_values(F.map_filter(known, lambda k, _: k == unit)), F.lit(0)))
+        n = F.substring_index(F.trim(x), " ", 1)
+        unit = F.lower(F.trim(F.substring(F.trim(x), F.length(n) + 1, F.length(x))))
+        size = F.get(F.map_values(F.map_filter(known, lambda k, _: k == unit)), F.lit(0))
+        return F.when(n.rlike("^[0-9]+$"), n.cast("double") * size)
 
-    return F.array_min(F.transform(F.split(text, r"\s*(\sor\s|/|,)\s*"), value))
+    return F.array_min(F.transform(alternatives, value))
 
 
 def null_div(a: Column, b: Column) -> Column:
@@ -60,6 +63,10 @@ def _fold(parts: Column, term, combine) -> Column:
     return F.aggregate(F.transform(parts, term), start, step, lambda acc: acc["v"])
 
 
+#: How texts write the sign of a product, in any case.
+TIMES = ["·", "&#183;", "&#xB7;", "&centerdot;"]
+
+
 def computed(text: Column) -> Column:
     """The value of sums, differences, products (middle dots) and quotients of
     numbers; a word without digits counts 6; null where a part is neither."""
@@ -68,50 +75,69 @@ def computed(text: Column) -> Column:
         return F.when(x.rlike("[0-9]"), number(x)).when(x.rlike("[A-Za-z0-9_]"), F.lit(6.0))
 
     quotient = lambda x: _fold(F.split(x, "/"), leaf, null_div)
-    product = lambda x: _fold(F.split(x, "(?i)·|&#183;|&#xB7;|&centerdot;"), quotient, lambda a, b: a * b)
+    product = lambda x: _fold(F.split(x, "(?i)" + "|".join(TIMES)), quotient, lambda a, b: a * b)
     difference = lambda x: _fold(F.split(x, "-"), product, lambda a, b: a - b)
     return _fold(F.split(F.regexp_replace(text, "<[^>]*>", ""), r"\+"), difference, lambda a, b: a + b)
 
 
+#: Seconds of words for durations, and words that say none.
+LASTING = {"instant": 0.1, "eternal": INFINITY}
+ETERNAL_UNTIL = 1e20
+UNSAID = ["varies", "see effect"]
+#: Metres of words for distances, and of their units.
+REACHING = {"touch": 0.1, "any": INFINITY, "vision": 5000.0}
+REACH_UNITS = {"[m]": 1, "[km]": 1000}
+
+
+def _looked_up(key: Column, values: dict[str, float]) -> Column:
+    return F.get(F.map_values(F.map_filter(unit_map(values), lambda k, _: k == key)), F.lit(0))
+
+
+def _with_unit(text: Column) -> tuple[Column, Column]:
+    """What stands before the last unit in brackets and white space, and the unit;
+    null where the text does not end so."""
+    inner = F.substring_index(text, "[", -1)
+    head = F.substring(text, F.lit(1), F.length(text) - F.length(inner) - 1)
+    ok = text.contains("[") & inner.endswith("]") & head.rlike(r"\s$")
+    return F.when(ok, head), F.when(ok, F.concat(F.lit("["), inner))
+
+
 def duration(text: Column) -> Column:
-    """Seconds of ``<computation> [unit]``; keywords instant and eternal."""
-    low = F.lower(text)
-    unit = F.regexp_extract(text, r"^(.*)\s+(\[.*\])$", 2)
-    factor = F.get(F.map_values(F.map_filter(unit_map(TURN_UNITS), lambda k, _: k == unit)), F.lit(0))
-    value = computed(F.regexp_extract(text, r"^(.*)\s+(\[.*\])$", 1))
-    return (
-        F.when(low == "instant", 0.1)
-        .when(low.rlike(r"^eternal\s*\(.*\)$"), 1e20)
-        .when(low == "eternal", F.lit(INFINITY))
-        .when(low.rlike(r"^(varies|see\s+effect)$") | (unit == ""), F.lit(None).cast("double"))
-        .otherwise(F.when(~F.isnan(value), value * factor))
-    )
+    """Seconds of ``<computation> [unit]``; keywords instant and eternal, and
+    eternal with a condition in brackets."""
+    low = F.regexp_replace(F.lower(text), r"\s+", " ")
+    head, unit = _with_unit(text)
+    value = computed(head)
+    condition = F.ltrim(F.substring(low, len("eternal") + 1, 1_000_000))
+    until = low.startswith("eternal") & condition.startswith("(") & condition.endswith(")")
+    return F.when(until, ETERNAL_UNTIL).when(low.isin(list(LASTING)), _looked_up(low, LASTING)).when(~low.isin(UNSAID) & ~F.isnan(value), value * _looked_up(unit, TURN_UNITS))
+
+
+def _without_word(text: Column, words: list[str]) -> Column:
+    """``text`` without one of the words at its end."""
+    last = F.substring_index(text, " ", -1)
+    return F.when(F.lower(last).isin(words), F.rtrim(F.substring(text, F.lit(1), F.length(text) - F.length(last)))).otherwise(text)
 
 
 def distance(text: Column) -> Column:
     """Metres of ``<computation> [m]`` or ``[km]``, also with radius or diameter
     after it or as a maximum of vision; keywords touch, any and vision."""
-    low = F.lower(text)
-    radius = F.regexp_extract(text, r"(?i)^(.*)\s+(radius|diameter)$", 1)
-    bare = F.trim(F.when(radius != "", radius).otherwise(text))
-    limit = F.regexp_extract(bare, r"(?i)^vision\s*\(\s*maximum\s+([^()]+)\)$", 1)
-    bare = F.trim(F.when(limit != "", limit).otherwise(bare))
-    unit = F.regexp_extract(bare, r"^(.*)\s+\[(.*)\]$", 2)
-    value = computed(F.trim(F.regexp_extract(bare, r"^(.*)\s+\[(.*)\]$", 1)))
-    return (
-        F.when(low == "touch", 0.1)
-        .when(low == "any", F.lit(INFINITY))
-        .when(low == "vision", 5000.0)
-        .when(unit == "m", value)
-        .when(unit == "km", value * 1000)
-    )
-
-
-def sort_keys(value: Column, text: Column) -> list[Column]:
-    """Valid values first by size, then the rest by text. Zero, NaN and null are
-    not valid."""
-    invalid = F.coalesce((value == 0) | F.isnan(value), F.lit(True))
-    return [invalid.asc(), F.when(~invalid, value).asc_nulls_last(), F.when(invalid, text).asc_nulls_last()]
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    bare = _without_word(flat, ["radius", "diameter"])
+    low = F.lower(bare)
+    # "vision (maximum x)": what is in the brackets, less the word
+    inner = F.trim(F.substring(bare, F.locate("(", bare) + 1, F.length(bare) - F.locate("(", bare) - 1))
+    limited = low.startswith("vision") & (F.trim(F.substring(low, F.lit(7), F.locate("(", low) - 7)) == "") & low.endswith(")") & F.lower(inner).startswith("maximum ")
+    head, unit = _with_unit(F.trim(F.when(limited, F.substring(inner, len("maximum ") + 1, 1_000_000)).otherwise(bare)))
+    return F.when(F.lower(text).isin(list(REACHING)), _looked_up(F.lower(text), REACHING)).otherwise(computed(F.trim(head)) * _looked_up(unit, REACH_UNITS))
+
+
+def sort_columns(value: str, text: str) -> dict[str, Column]:
+    """Keys to be sorted upwards, nulls last: valid values first by size, then the
+    rest by text. Zero, NaN and null are not valid."""
+    v = F.col(value)
+    invalid = F.coalesce((v == 0) | F.isnan(v), F.lit(True))
+    return {"_invalid": invalid, "_value": F.when(~invalid, v), "_text": F.when(invalid, F.col(text))}
 
 
 def ranks(order: list[str], value: Column) -> Column:

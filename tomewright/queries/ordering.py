@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tomewright.functions.quantity import ACTION_UNITS, computed, distance, duration, least_quantity, ranks, sort_keys
-from tomewright.operators.ranking import ranked
+from tomewright.functions.quantity import ACTION_UNITS, computed, distance, duration, least_quantity, ranks
+from tomewright.operators.ranking import ranked, ranked_by_value
 from tomewright.plans.search import Dialect
 from tomewright.plans.sorting import card_order, sort_order
 from tomewright.queries import query, table
@@ -101,7 +101,7 @@ def least_quantities(spark, sf_dir):
 def sort_quantity(spark, sf_dir):
     """Valid quantities first; zero counts as none."""
     rows = _casting(spark, sf_dir)
-    return ranked(rows, [*sort_keys(least_quantity(F.col("casting"), ACTION_UNITS), F.col("casting")), F.col("p_partkey")]).select("p_partkey", "rank")
+    return ranked_by_value(rows, least_quantity(F.col("casting"), ACTION_UNITS), "casting", "p_partkey")
 
 
 def _timed(spark, sf_dir):
@@ -128,7 +128,7 @@ def durations(spark, sf_dir):
  SELECT p_partkey, row_number() OVER (ORDER BY v IS NULL, v NULLS LAST, CASE WHEN v IS NULL THEN t END NULLS LAST, p_partkey) AS rank FROM y""")
 def sort_duration(spark, sf_dir):
     rows = _timed(spark, sf_dir)
-    return ranked(rows, [*sort_keys(duration(F.col("lasts")), F.col("lasts")), F.col("p_partkey")]).select("p_partkey", "rank")
+    return ranked_by_value(rows, duration(F.col("lasts")), "lasts", "p_partkey")
 
 
 def _ranged(spark, sf_dir):
@@ -152,7 +152,7 @@ def distances(spark, sf_dir):
  SELECT p_partkey, row_number() OVER (ORDER BY v IS NULL, v NULLS LAST, CASE WHEN v IS NULL THEN p_size || ' feet' END NULLS LAST, p_partkey) AS rank FROM x""")
 def sort_distance(spark, sf_dir):
     rows = _ranged(spark, sf_dir)
-    return ranked(rows, [*sort_keys(distance(F.col("reach")), F.col("reach")), F.col("p_partkey")]).select("p_partkey", "rank")
+    return ranked_by_value(rows, distance(F.col("reach")), "reach", "p_partkey")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 10 = 1 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(p_size + 2 * 3 - 4.0 / CASE WHEN p_size % 10 = 1 THEN 1 ELSE 2 END AS DOUBLE) END AS value FROM part""")
