@@ -208,6 +208,14 @@ def test_vectors_with_near_equal_pivots(spark):
     assert {tuple(r) for r in near_vectors(df, 0.9, cell_rows=20).collect()} == {(i, 199, 0, i == 0) for i in range(200)}
 
 
+def test_vectors_of_extreme_lengths_and_odd_rows(spark):
+    """Squares that leave the range of doubles, repeated ids and clashing names."""
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e199]), (3, [1e-170, 1e-170]), (4, [1e-170, 1.1e-170]), (5, [5e-324, 0.0]), (6, [1.7e308, 1.7e308]), (7, [0.0, 0.0]), (7, [0.0, 1.0]), (7, [0.0, 1.0])]
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "vec_id long, embedding array<double>, row int, cell int, dim string")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(df, 0.9).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 3), (4, 2, 3), (5, 2, 1), (6, 2, 3), (7, 0, 7), (7, 1, 7), (7, 1, 7)]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1040)]

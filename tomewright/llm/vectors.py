@@ -30,15 +30,18 @@ def _units(raw: list[bytes]) -> np.ndarray:
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dimension and raw doubles of each usable vector; dimension 0 for others."""
+    """Dimension and doubles of each usable vector; dimension 0 for others."""
     for b in batches:
         dims, raw = [], []
         for v in b.column(2):
             x = None if not v.is_valid else v.values
             ok = x is not None and len(x) and not x.null_count
             x = x.to_numpy(zero_copy_only=False).astype(np.float64) if ok else None
-            with np.errstate(over="ignore"):
-                ok = ok and np.isfinite(x).all() and 0 < np.dot(x, x) < np.inf
+            ok = ok and np.isfinite(x).all() and np.any(x)
+            with np.errstate(over="ignore", under="ignore"):
+                if ok and not 1e-200 < np.dot(x, x) < np.inf:
+                    # a power of two changes no cosine, and the norm then fits a double
+                    x = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
             dims.append(len(x) if ok else 0)
             raw.append(np.ascontiguousarray(x).tobytes() if ok else None)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], names=["row", "vec_id", "dim", "raw"])
