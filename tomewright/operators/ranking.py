@@ -30,7 +30,7 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
 def ranked_by_value(df: DataFrame, value: Column, text: str, key: str, name: str = "rank") -> DataFrame:
     """(``key``, place): valid values first by size, then the rest by text. The
     value is computed once; only it, the text and the key are shuffled."""
-    rows = df.select(key, text, value.alias("_read"))
+    rows = written(df.select(key, text, value.alias("_read")))
     keys = sort_columns("_read", text)
     order = [F.col(k).asc_nulls_last() for k in keys]
-    return ranked(written(rows.select(key, *[c.alias(k) for k, c in keys.items()])), [*order, F.col(key)], name).select(key, name)
+    return ranked(rows.select(key, *[c.alias(k) for k, c in keys.items()]), [*order, F.col(key)], name).select(key, name)
