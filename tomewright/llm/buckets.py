@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
+from array import array
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,43 +12,45 @@ from tomewright.llm.common import Shared
 from tomewright.llm.prefix import positions
 
 
-def stepped(length: Column, exact: int = 4096, steps: int = 2048) -> Column:
-    """Lengths up to ``exact`` as they are; longer ones rounded up to one of
-    ``steps`` equal steps within their power of two. So the histogram has at most
-    ``exact`` + ``steps`` rows for each further doubling, whatever the input."""
-    unit = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double")))) / steps
-    return F.when(length <= exact, length).otherwise((F.ceil(length / F.greatest(unit, F.lit(1.0))) * F.greatest(unit, F.lit(1.0))).cast("long"))
-
-
 def best_bounds(keys: list[int], counts: list[int], tokens: list[int], n_buckets: int) -> list[int]:
-    """Upper bounds of at most ``n_buckets`` buckets that minimise padding.
+    """Upper bounds of at most ``n_buckets`` buckets that minimise padding, exactly.
 
     Dynamic programming over the sorted histogram: the best cost of the first j
-    lengths in k buckets is the least over i of the best of the first i in k - 1
-    plus the padding of lengths i+1..j to the j-th.
+    lengths in k buckets is the least over i < j of the best of the first i in
+    k - 1 plus the padding of lengths i+1..j to the j-th, key_j * (c_j - c_i) -
+    (s_j - s_i). For one k each i is a line in key_j of slope -c_i; slopes fall
+    with i and keys rise with j, so a lower envelope that is read from its front
+    gives all j in linear time. Whole numbers throughout.
     """
     if not keys:
         return []
-    key, c, s = np.array(keys, float), np.concatenate([[0.0], np.cumsum(counts)]), np.concatenate([[0.0], np.cumsum(tokens)])
-    n = len(keys)
-    best = np.concatenate([[0.0], key * c[1:] - s[1:]])  # one bucket
-    best_of, came = [best[n]], [np.zeros(n + 1, int)]
+    n, c, s = len(keys), [0, *accumulate(counts)], [0, *accumulate(tokens)]
+    best = [0, *(key * c[j] - s[j] for j, key in enumerate(keys, 1))]  # one bucket
+    best_of, came = [best[n]], [array("q", bytes(8 * (n + 1)))]
     for _ in range(1, min(n_buckets, n)):
-        new, src = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        new[0] = 0.0
-        base = best + s
-        for j in range(1, n + 1):
-            costs = base[:j] - key[j - 1] * c[:j]
-            i = int(costs.argmin())
-            new[j], src[j] = costs[i] + key[j - 1] * c[j] - s[j], i
+        new, src, front = [0] * (n + 1), array("q", bytes(8 * (n + 1))), 0
+        lines: list[tuple[int, int, int]] = []  # slope, height, i
+        for j, key in enumerate(keys, 1):
+            slope, height = -c[j - 1], best[j - 1] + s[j - 1]
+            # the last line goes where the new one passes below the one before it no later
+            while len(lines) - front > 1:
+                (m0, h0, _), (m1, h1, _) = lines[-2:]
+                if (height - h0) * (m0 - m1) > (h1 - h0) * (m0 - slope):
+                    break
+                lines.pop()
+            lines.append((slope, height, j - 1))
+            while front + 1 < len(lines) and lines[front + 1][0] * key + lines[front + 1][1] <= lines[front][0] * key + lines[front][1]:
+                front += 1
+            m, h, src[j] = lines[front]
+            new[j] = m * key + h + key * c[j] - s[j]
         best = new
         came.append(src)
         best_of.append(best[n])
-    k = int(np.argmin(best_of))
+    k = best_of.index(min(best_of))
     bounds, j = [], n
     while j > 0:
         bounds.append(keys[j - 1])
-        j, k = int(came[k][j]), max(k - 1, 0)
+        j, k = came[k][j], max(k - 1, 0)
     return bounds[::-1]
 
 
@@ -60,20 +64,23 @@ def batches(
     optimal ones for the global histogram; inside a bucket, in the order of ids,
     documents fill batches of at most ``budget`` padded tokens, one at least.
     ``batch`` counts from 0 in its bucket, ``slot`` in its batch. Only id and
-    length are shuffled; equal rows fill places of their own.
+    length are shuffled; equal rows fill places of their own. The histogram has a
+    row for each length there is. It comes to the driver, which is safe at any
+    size: m different lengths need m * (m - 1) / 2 words, so texts of w words in
+    all have at most sqrt(2 * w) + 1 lengths.
     """
     spark = docs.sparkSession
     if length is None:
         length = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
     shared = Shared(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), length.cast("long").alias("n_tokens"))
-    rows = shared.keep(rows.withColumn("step", stepped(F.col("n_tokens"))))
-    hist = rows.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).orderBy("step").collect()
-    bounds = best_bounds([r.step for r in hist], [r.n for r in hist], [r.t for r in hist], n_buckets)
+    rows = shared.keep(rows)
+    hist = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").collect()
+    bounds = best_bounds([r.n_tokens for r in hist], [r.n for r in hist], [r.n_tokens * r.n for r in hist], n_buckets)
     bucket, upper = F.lit(len(bounds) - 1), F.lit(bounds[-1] if bounds else 0)
     for i, b in reversed(list(enumerate(bounds[:-1]))):
-        bucket = F.when(F.col("step") <= b, F.lit(i)).otherwise(bucket)
-        upper = F.when(F.col("step") <= b, F.lit(b)).otherwise(upper)
+        bucket = F.when(F.col("n_tokens") <= b, F.lit(i)).otherwise(bucket)
+        upper = F.when(F.col("n_tokens") <= b, F.lit(b)).otherwise(upper)
     dealt = rows.select("doc_id", "n_tokens", bucket.cast("int").alias("bucket"), upper.cast("long").alias("bucket_tokens"), F.lit(1).cast("long").alias("one"))
     at = positions(dealt, ["bucket", "doc_id", "n_tokens"], "one", shared)
     first = at.groupBy("bucket").agg(F.min("row_before").alias("first_row"))  # a row for each bucket
