@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -80,6 +83,9 @@ def pack_tokens(
 
     Each task packs for itself, whenever ``window`` tokens have gathered: memory
     is bounded, and nothing is shuffled. pack_id is the task's number and a count.
+    So which documents share a row follows from how the input is split, but what
+    each document becomes does not. Null ids and repeated rows are packed like
+    others, a part for each row; an empty table gives no rows.
     """
     with open(vocabulary, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -123,3 +129,48 @@ def pack_tokens(
     names = ["pack_id", "n_used", "doc_ids", "parts", "cu_seqlens", "positions", "ids"]
     schema = "pack_id long, n_used int, doc_ids array<long>, parts array<int>, cu_seqlens array<int>, positions binary, ids binary"
     return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+
+
+def write_packs(packs: DataFrame, folder: str) -> DataFrame:
+    """Write the rows of ``pack_tokens`` as binary files and return their index.
+
+    ``folder``: a path or URI that pyarrow's file systems and Spark both reach from
+    every executor; a local path only where Spark runs on one machine. Of each
+    task's rows there are four files: ``K.ids`` and ``K.positions``, row after row
+    as in ``packs``; ``K.cu``, the cumulative lengths of all rows as little-endian
+    32-bit integers; ``K.cu_at``, 64-bit: for each row the place in ``K.cu`` where
+    its lengths begin, and the end of the last. The index, written last to
+    ``index``, has a row for each packed row: pack_id, file (K), row (its place in
+    the files), n_used, doc_ids, parts. A task writes under a name of its attempt
+    and moves the files when they are whole, so one that runs again, or runs
+    twice, leaves the same files. Empty input gives no files and an empty index.
+    """
+    kept = ["pack_id", "n_used", "doc_ids", "parts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, row, at = TaskContext.get(), 0, 0
+        name = f"{task.partitionId():06d}"
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
+        store.create_dir(base, recursive=True)
+        drafts = {kind: f"{base}/_{name}.{task.taskAttemptId()}.{kind}" for kind in ("ids", "positions", "cu", "cu_at")}
+        with ExitStack() as opened:
+            files = {kind: opened.enter_context(store.open_output_stream(path)) for kind, path in drafts.items()}
+            files["cu_at"].write(np.array([0], "<i8").tobytes())
+            for b in batches:
+                for ids, positions, cu in zip(*(b.column(c).to_pylist() for c in ("ids", "positions", "cu_seqlens")), strict=True):
+                    at += len(cu)
+                    for kind, raw in zip(files, (ids, positions, np.array(cu, "<i4").tobytes(), np.array([at], "<i8").tobytes()), strict=True):
+                        files[kind].write(raw)
+                places = pa.array(range(row, row + b.num_rows), pa.int64())
+                row += b.num_rows
+                columns = [*(b.column(c) for c in kept), pa.array([name] * b.num_rows, pa.string()), places]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "file", "row"])
+        for kind, path in drafts.items():
+            if row:
+                store.move(path, f"{base}/{name}.{kind}")
+            else:
+                store.delete_file(path)
+
+    index = packs.mapInArrow(run, "pack_id long, n_used int, doc_ids array<long>, parts array<int>, file string, row long")
+    index.write.parquet(f"{folder}/index")
+    return packs.sparkSession.read.parquet(f"{folder}/index")
