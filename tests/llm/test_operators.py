@@ -19,7 +19,7 @@ from tomewright.llm import bpe, common, jaccard, licenses, pii, suffixes
 from tomewright.llm.buckets import batches, best_bounds
 from tomewright.llm.common import Shared, components
 from tomewright.llm.jaccard import jaccard_groups, without_near_copies
-from tomewright.llm.packing import best_fit, pack_tokens
+from tomewright.llm.packing import best_fit, pack_tokens, write_packs
 from tomewright.llm.quality import quality
 from tomewright.llm.repeats import remove_repeats, without_repeats
 from tomewright.llm.shard import shard_by_bytes, write_shards
@@ -134,6 +134,29 @@ def test_packing_is_lossless(docs):
     assert len({r.pack_id for r in rows}) == len(rows)
 
 
+def test_packs_as_files(docs, empty, tmp_path):
+    packs = pack_tokens(docs, VOCABULARY, public_tokenizers.PATTERN, row_tokens=64, window=2000)
+    index = write_packs(packs, str(tmp_path / "out")).collect()
+    made = {r.pack_id: r for r in packs.collect()}
+    assert sorted(r.pack_id for r in index) == sorted(made)
+    assert not [x for x in os.listdir(tmp_path / "out") if x.startswith("_")]
+    for r in index:
+        p, base = made[r.pack_id], str(tmp_path / "out" / r.file)
+        for kind in ("ids", "positions"):
+            rows = np.fromfile(f"{base}.{kind}", "<u2").reshape(-1, 64)
+            assert rows[r.row].tobytes() == getattr(p, kind)
+        a, b = np.fromfile(f"{base}.cu_at", "<i8")[r.row : r.row + 2]
+        assert np.fromfile(f"{base}.cu", "<i4")[a:b].tolist() == p.cu_seqlens
+        assert (r.n_used, r.doc_ids, r.parts) == (p.n_used, p.doc_ids, p.parts)
+    assert write_packs(pack_tokens(empty, VOCABULARY, public_tokenizers.PATTERN), str(tmp_path / "none")).count() == 0
+
+
+def test_packing_odd_rows(odd, empty):
+    rows = pack_tokens(odd, VOCABULARY, public_tokenizers.PATTERN, row_tokens=4096).collect()
+    of = lambda ids: sorted((d for r in rows for d in r.doc_ids), key=str) == sorted(ids, key=str)
+    assert of([1, 1, None, 3]) and pack_tokens(empty, VOCABULARY, public_tokenizers.PATTERN).count() == 0
+
+
 @given(st.lists(st.integers(1, 20), max_size=60))
 @settings(max_examples=100, deadline=None)
 def test_best_fit(lengths):
@@ -161,6 +184,17 @@ def test_best_bounds(hist, k):
     assert len(found) <= k and cost(found) == best
 
 
+def test_bounds_of_long_texts_are_exact(spark):
+    lengths = [5000, 5001, 5003, 90_001, 90_007, 90_011, 3, 4]
+    rows = batches(spark.createDataFrame([(i, "w " * n) for i, n in enumerate(lengths)], "doc_id long, text string"), n_buckets=3).collect()
+    assert {(r.n_tokens, r.bucket_tokens) for r in rows} == {(n, 4 if n < 10 else 5003 if n < 6000 else 90_011) for n in lengths}
+    many = random.Random(3).sample(range(1, 50_000), 3000)
+    found = best_bounds(sorted(many), [1] * 3000, sorted(many), 16)
+    fewer = best_bounds(sorted(many), [1] * 3000, sorted(many), 15)
+    cost = lambda bounds: sum(bounds[int(np.searchsorted(bounds, x))] - x for x in many)
+    assert len(found) == 16 and cost(found) < cost(fewer)
+
+
 def test_batches(docs, odd, empty):
     rows = batches(docs, n_buckets=4, budget=400).collect()
     assert len(rows) == len(ROWS)
@@ -398,6 +432,33 @@ def test_quality_counts_of_awkward_texts(spark, labels):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == fx.quality_counts(texts[r.doc_id])
 
 
+def test_quality_scores(docs, spark):
+    """Scores and verdicts against plain counting over hashed grams."""
+    marks = {i: i % 4 > 0 for i in range(40)}
+    labels = spark.createDataFrame([(i, int(g), 0) for i, g in marks.items()] + [(41, 1, 1)], "doc_id long, quality int, toxic int")
+    n, split = 512, lambda t: fx.re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    vocabulary = sorted({w for _, t in PAIRS for w in split(t)})
+    hashed = spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    h = {r.w: r.h for r in hashed}
+
+    def grams(text):
+        w = [h[x] for x in split(text)]
+        return [x % n for x in w] + [((a >> 1) ^ (b >> 2)) % n for a, b in zip(w, w[1:], strict=False)]
+
+    raw, good = np.zeros(n), np.zeros(n)
+    for i, t in PAIRS:
+        np.add.at(raw, grams(t), 1)
+        if marks.get(i):
+            np.add.at(good, grams(t), 1)
+    ratios = np.log((good + 1) / (good.sum() + n) / ((raw + 1) / (raw.sum() + n)))
+    rows = quality(docs, labels, n_buckets=n, threshold=-0.05).collect()
+    for r in rows:
+        g = grams(ROWS[r.doc_id][1])
+        assert abs(r.score - (float(ratios[g].mean()) if g else 0.0)) < 1e-4
+        assert r.kept == (not r.base_failed and r.score >= -0.05)
+    assert len({r.kept for r in rows if not r.base_failed}) == 2
+
+
 def test_quality_plan_is_native(docs, labels):
     plan = quality(docs, labels)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
@@ -434,6 +495,19 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan_licenses(odd).count() == 7 and licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_base_against_brute_force(spark):
+    rng, parts = random.Random(5), ["cc", "BY", "all", "rights", "Reserved", "general", "public", "License", "é", "x1"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "-", "\n", "  ", "_", ". "]) for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["cc by " * 100_000]
+    phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        w = fx.re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[r.doc_id].translate({c: c + 32 for c in range(65, 91)}))
+        at = [(i, label) for i in range(len(w)) for p, label in phrases.items() if tuple(w[i : i + len(p)]) == p]
+        starts = [i for i, _ in at]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(starts, default=None), max(starts, default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in at})) and 0 <= r.score <= 1
+
+
 def test_expressions():
     assert licenses.postfix("MIT or Apache-2.0 and GPL-2.0 with X")[-1] == "or"
     assert licenses.postfix("MIT and (BSD or") == ["MIT"]
@@ -466,6 +540,13 @@ def test_bpe(text):
     assert CODEC.decode(ids) == text.encode()
 
 
+def test_bpe_under_other_patterns():
+    for pattern in (r"\S+|\s+", r"(?:a|b)+|."):
+        real = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=RANKS, special_tokens={})
+        for text in ("the ab ab\nof in", "a b", "in the  aab"):
+            assert np.frombuffer(bpe.Codec(RANKS, pattern).encode(text), "<u4").tolist() == real.encode_ordinary(text)
+
+
 def test_bpe_long_word():
     rng = random.Random(1)
     for alphabet in ("a", "ab", "etaoinsh"):
