@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -64,6 +65,14 @@ class Shared:
         self.made.append(path)
         return out
 
+    def free(self) -> None:
+        """Let go of the shuffle files behind tables that are written. Spark deletes
+        them once the plan that made them is collected as garbage on the driver;
+        without this call that is when the driver's heap happens to fill, and till
+        then every shuffle of an operator lies on the executors' disks at once."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             path, _ = self.paths.pop(id(df), (None, None))

@@ -304,11 +304,13 @@ def _spans(texts: DataFrame, facts: DataFrame, length: int, shared: Shared) -> t
     order = ["key", "name", "start"]
     dealt = cuts.repartitionByRange(partitions(texts.sparkSession), *order).sortWithinPartitions(*order)
     hits = shared.keep(dealt.mapInArrow(_shared, schema))
+    shared.free()
     lists = hits.groupBy("name").agg(F.collect_set(F.when(~F.col("again"), F.struct("key", "start", "n"))).alias("found"))
     own = shared.keep(hits.where("again").select("name", F.col("start").alias("from"), (F.col("start") + F.col("n")).alias("to")))
     first = facts.groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     held = shared.keep(texts.join(lists.join(first, "name"), ["name", "doc_id"]).select("doc_id", "text", "found", "name"))
     shared.drop(hits)
+    shared.free()
     pieces = held.mapInArrow(_pieces(length), "doc_id long, key long, start int, piece binary, name long")
     found = "name long, from int, to int, doc_id long, key long, piece binary"
 
@@ -317,6 +319,7 @@ def _spans(texts: DataFrame, facts: DataFrame, length: int, shared: Shared) -> t
         return shared.keep(rows.select(*cols).repartition("key").sortWithinPartitions(*cols).mapInArrow(_scan(length, most), found))
 
     spans = scanned(pieces, BUCKET)
+    shared.free()
     anew = spans.where("piece is not null").withColumnRenamed("from", "start")
     each = spans.where("piece is null").select("name", "from", "to")
     if not anew.isEmpty():
@@ -420,6 +423,7 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     lost = facts.join(lists, "name", "left").where("copy or spans is not null")
     lost = lost.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("copy").alias("_copy"), F.col("spans").alias("_spans"))
     lost = shared.keep(lost.dropDuplicates(["_id", "_hash"]) if repeated else lost)
+    shared.free()
     place = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
