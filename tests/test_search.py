@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tomewright.functions.text import camel_to_title, full_text, html_encode, infix_word, latex_plain, markdown_lines, natural_join, ordinal, same
+from tomewright.functions.text import camel_to_title, find_window, full_text, html_encode, infix_word, latex_plain, markdown_lines, natural_join, ordinal, same, split_by, tags_as_html
+from tomewright.plans.dialects import ARCANE, LEVELLED, TRAITED
 from tomewright.plans.search import Dialect, compile_query, parse_query, search
 from tomewright.plans.sorting import parse_sorting, sort_order
 
@@ -113,3 +114,31 @@ def test_texts(spark):
     assert v(same(F.lit("ÉCLAIR"), "éclair")) and not v(same(F.lit("eclair"), "éclair"))
     assert v(infix_word(F.lit("x é y"), "x")) and not v(infix_word(F.lit("x_"), "x"))
     assert v(full_text("/x", F.lit(None).cast("string"), F.lit("aXb"))) and not v(full_text("x", F.lit("x")))
+
+
+def test_dialects(spark):
+    columns = "name string, source string, level int, school string, casting_time string, duration string, classes array<string>, verbal boolean, somatic boolean, ritual boolean, concentration boolean, upcast string, materials string, hint string, description string, stat_block string"
+    rows = [
+        ("Ward", "A", 2, "abjuration", "1 action", "1 hour", ["Cleric"], True, False, False, False, "more", "50 gp dust", "old", "A ward of light", None),
+        ("Bolt", "B", 3, "evocation", "1 reaction", "1 round", ["Mage"], True, True, True, False, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, columns)
+    names = lambda q: [r.name for r in search(df, q, LEVELLED).collect()]
+    assert names("cleric") == names("L1-2") == names("$$") == names("#old") == names("/light") == names(":a") == names("upcast") == ["Ward"]
+    assert names("ritual") == names("1 REACTION") == names("!material") == ["Bolt"]
+    assert [r.name for r in df.orderBy(*sort_order("casting_time", LEVELLED, [F.col("name")], df)).collect()] == ["Bolt", "Ward"]
+    other = spark.createDataFrame([("Hex", ["Curse"], ["occult"], "Will negates", 1)], "name string, tags array<string>, traditions array<string>, save string, level int")
+    for c in ("range", "area", "duration", "casting_time", "description", "reaction", "summary"):
+        other = other.withColumn(c, F.lit(None).cast("string"))
+    assert all(search(other, q, TRAITED).count() == 1 for q in ("curse", "OCCULT", "will", "L1", "\\hex")) and search(other, "reflex", TRAITED).count() == 0
+    assert {"name", *ARCANE.exact} <= {*ARCANE.headers} and set(ARCANE.comparers) == {"casting_time", "duration", "distance"}
+
+
+def test_windows_groups_and_tags(spark):
+    t = spark.createDataFrame([("x THEN then", ["a", "|", "|", "b", "|"], '<title level="1" x="2">a</title>')], "s string, l array<string>, h string")
+    r = t.select(
+        find_window(F.col("s"), [("#", "zzz", ""), ("#", "then", "")]).alias("first"), find_window(F.col("s"), [("", "th.n", "#")]).alias("second"), find_window(F.col("s"), [("", "q", "")]).alias("none"),
+        split_by(F.col("l"), lambda x: x == "|").alias("groups"), split_by(F.col("l"), lambda x: x == "|", no_empty=True).alias("full"), tags_as_html(F.col("h"))["ok"].alias("ok"),
+    ).first()
+    assert tuple(r["first"]) == (2, 4) and tuple(r.second) == (2, 4) and r.none is None and not r.ok
+    assert r.groups == [["a"], [], ["b"]] and r.full == [["a"], ["|", "b"]]

@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomewright.functions.text import ordinal, sure
 
+#: A cost of ten gold or more, and how texts say that materials are used up.
 COST = r"(?i)([1-9][0-9,]+\s*gp)"
+USED_UP = "(?i)(which the spell consumes|consumed by the spell)$"
+
+
+def costs(materials: Column) -> Column:
+    """The high costs that materials name."""
+    return F.regexp_extract_all(materials, F.lit(COST), F.lit(1))
+
+
+def used_up(materials: Column) -> Column:
+    return materials.rlike(USED_UP)
+
+
+def cells(df: DataFrame, headers: list[str]) -> list[Column]:
+    """Columns as cells of a table: flags as Yes or No, lists joined by commas,
+    nothing for a null."""
+    kinds = dict(df.dtypes)
+
+    def cell(c: str) -> Column:
+        at = F.col(f"`{c}`")
+        if kinds[c] == "boolean":
+            return F.when(F.coalesce(at, F.lit(False)), "Yes").otherwise("No").alias(c)
+        text = F.array_join(at, ",") if kinds[c].startswith("array") else at.cast("string")
+        return F.coalesce(text, F.lit("")).alias(c)
+
+    return [cell(c) for c in headers]
 
 
 def level_line(level: Column, school: Column) -> Column:
@@ -20,7 +46,7 @@ def component_line(verbal: Column, somatic: Column, materials: Column) -> Column
     too where they cost, and starred where they are then used up."""
     has = sure(materials != "")
     dear = materials.rlike(COST)
-    used = materials.rlike("(?i)(which the spell consumes|consumed by the spell)$")
+    used = used_up(materials)
     letter = F.when(dear & used, "<b>M*</b>").when(dear, "<b>M</b>").otherwise("M")
     shown = F.concat(letter, F.lit(" ("), F.regexp_replace(materials, COST, "<b>$1</b>"), F.lit(")"))
     return F.array_join(F.array_compact(F.array(F.when(sure(verbal), "V"), F.when(sure(somatic), "S"), F.when(has, shown))), ", ")

@@ -170,3 +170,61 @@ def latex_plain(text: Column) -> Column:
     for pattern, into in ((r"(?m)(?<!\\)%.*$", ""), (r"\\[A-Za-z0-9]+[ \t]*", ""), (r"\\([{}%&$#_])", "$1"), (r"[{}$]", ""), (r"[ \t]+", " "), (r"\n", "")):
         text = F.regexp_replace(text, pattern, into)
     return text
+
+
+def entry_url(name: Column, source: Column) -> Column:
+    """The address of an entry's page, its parts coded with %20 for spaces."""
+    coded = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    return F.concat(F.lit("details.html?name="), coded(name), F.lit("&from="), coded(source))
+
+
+def after_rule(text: Column) -> Column:
+    """What stands after the first ``---``, the body of a stored hit; null without one."""
+    at = F.locate("---", text)
+    return F.when(at > 0, F.substring(text, at + 3, F.length(text)))
+
+
+#: Tags that stay as they are.
+PLAIN_TAGS = ["br", "ol", "ul", "li", "tr", "td", "table"]
+
+
+def tags_as_html(text: Column) -> Column:
+    """Titles, action costs, rows and documents as plain tags. ``ok`` is false
+    where a tag is left that has no meaning, or one has other attributes than its own."""
+    into = [
+        (r'<title\s+level="[^"]*"\s*>', "<h4>"), ("</title>", "</h4>"), (r'<actions\s+string="([^"]*)"\s*/>', '<img src="/img/$1.png" />'),
+        (r"<row(\s[^<>]*)?>", "<br/>"), ("</row>", ""), (r"<document(\s[^<>]*)?>", ""),
+    ]
+    html, rest = text, F.regexp_replace(text, rf"</?({'|'.join(PLAIN_TAGS)})(\s[^<>]*)?/?>", "")
+    for pattern, new in into:
+        html, rest = F.regexp_replace(html, pattern, new), F.regexp_replace(rest, pattern, "")
+    return F.struct((~rest.rlike("</?[A-Za-z][^<>]*>")).alias("ok"), html.alias("html"))
+
+
+def find_window(text: Column, options: list[tuple[str, str, str]]) -> Column:
+    """(at, width) of the first place where an option (before, pattern, after)
+    fits, without what stands before and after; null without one. ``#`` is no
+    letter or digit, ``.`` anything, a space white space; other characters stand
+    for themselves in any case. At one place the first option counts."""
+    special = {"#": r"[^\p{L}\p{N}]", ".": "(?s:.)", " ": r"\s"}
+    places = []
+    for i, option in enumerate(options):
+        fits = "(?iu)" + "".join(special.get(c) or re.escape(c) for c in "".join(option))
+        start = F.regexp_instr(text, F.lit(fits)) - 1
+        places.append(F.when(start >= 0, F.struct(start.alias("start"), F.lit(i).alias("i"), (start + len(option[0])).alias("at"), F.lit(len(option[1])).alias("width"))))
+    first = F.array_min(F.array(*places))
+    return F.when(first.isNotNull(), F.struct(first["at"].alias("at"), first["width"].alias("width")))
+
+
+def split_by(items: Column, separator, no_empty: bool = False) -> Column:
+    """Groups of a short array of strings between separators. A last group counts
+    if it has items. With ``no_empty`` a separator that would end an empty group
+    is an item itself."""
+    none, word = F.array().cast("array<array<string>>"), F.array().cast("array<string>")
+    state = lambda done, now: F.struct(done.alias("done"), now.alias("now"))
+
+    def step(acc: Column, x: Column) -> Column:
+        ends = separator(x) & (F.size(acc["now"]) > 0) if no_empty else separator(x)
+        return F.when(ends, state(F.concat(acc["done"], F.array(acc["now"])), word)).otherwise(state(acc["done"], F.concat(acc["now"], F.array(x))))
+
+    return F.aggregate(items, state(none, word), step, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))

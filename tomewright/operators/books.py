@@ -52,3 +52,8 @@ def book_counts(rows: DataFrame, books: DataFrame, source: str = "source") -> Da
 
 def with_titles(rows: DataFrame, books: DataFrame, source: str = "source") -> DataFrame:
     return rows.join(books.select(F.col("shorthand").alias(source), F.col("full_name").alias("book_title")), source)
+
+
+def partition_counts(rows: DataFrame, source: str = "source", total: str = "total") -> DataFrame:
+    """Rows of every book and of all together, in one pass."""
+    return rows.rollup(source).agg(F.count(F.lit(1)).alias("n"), F.grouping(source).alias("_all")).select(F.when(F.col("_all") == 1, total).otherwise(F.col(source)).alias(source), "n")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.functions.text import content_tag, html_encode, key_values, links, markdown_inline, markdown_lines, natural_join, ordinal, slug, squeeze, strip_tags, unwrap_links
+from tomewright.functions.cards import cells
+from tomewright.functions.text import content_tag, entry_url, html_encode, key_values, links, markdown_inline, markdown_lines, natural_join, ordinal, slug, squeeze, strip_tags, unwrap_links
 from tomewright.functions.text import latex_plain as plain_latex
-from tomewright.operators.books import book_counts, discarded_sources, known_rows, resolve_books, with_titles
+from tomewright.operators.books import book_counts, discarded_sources, known_rows, partition_counts, resolve_books, with_titles
 from tomewright.operators.lists import all_hold, merged
 from tomewright.operators.shared import shared_folder
 from tomewright.queries import query, table
@@ -36,8 +37,7 @@ def scan_union_sources(spark, sf_dir):
 
 @query("SELECT source, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'total', count(*) FROM documents")
 def index_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.rollup("source").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("source", F.lit("total")).alias("source"), "n")
+    return partition_counts(table(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE source IN (SELECT shorthand FROM {_BOOKS})")
@@ -269,14 +269,13 @@ def key_value_lines(spark, sf_dir):
 def table_projection(spark, sf_dir):
     """Flags as words, missing values as nothing, lists joined by commas."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    yes = F.when(F.coalesce("toxic", F.lit(0)) != 0, "Yes").otherwise("No")
-    return rows.select("doc_id", "lang", yes.alias("toxic"), F.coalesce(F.col("quality").cast("string"), F.lit("")).alias("quality"), F.array_join(F.array("source", "lang"), ",").alias("tags"))
+    rows = rows.withColumn("toxic", F.col("toxic") != 0).withColumn("tags", F.array("source", "lang"))
+    return rows.select("doc_id", *cells(rows, ["lang", "toxic", "quality", "tags"]))
 
 
 @query("SELECT p_partkey, 'details.html?name=' || replace(replace(url_encode(p_name), '+', '%20'), '*', '*') || '&from=' || url_encode(p_brand) AS url FROM part")
 def url_build(spark, sf_dir):
-    coded = lambda c: F.replace(F.url_encode(F.col(c)), F.lit("+"), F.lit("%20"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("details.html?name="), coded("p_name"), F.lit("&from="), coded("p_brand")).alias("url"))
+    return table(spark, sf_dir, "part").select("p_partkey", entry_url(F.col("p_name"), F.col("p_brand")).alias("url"))
 
 
 @query("SELECT p_type AS school, bool_and(p_size < 50) AS all_small FROM part GROUP BY ALL UNION ALL SELECT 'none', true")

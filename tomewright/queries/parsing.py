@@ -113,8 +113,7 @@ def component_string(spark, sf_dir):
 def expensive_flags(spark, sf_dir):
     """Costs of ten gold or more, and whether the materials are consumed."""
     text = F.concat(F.lit("dust worth "), digits(), F.lit(" gp"), F.when(size() % 2 == 0, ", which the spell consumes").otherwise(""))
-    costs = F.regexp_extract_all(text, F.lit(r"(?i)[1-9][0-9,]+\s*gp"), F.lit(0))
-    return table(spark, sf_dir, "part").select("p_partkey", costs.alias("costs"), text.rlike("(?i)(which the spell consumes|consumed by the spell)$").alias("consumed"))
+    return table(spark, sf_dir, "part").select("p_partkey", cards.costs(text).alias("costs"), cards.used_up(text).alias("consumed"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'light' WHEN p_size % 3 = 1 THEN 'dark' END AS arcanum, p_size % 3 <> 2 AS is_row FROM part WHERE p_size % 5 <> 0")
