@@ -1,4 +1,4 @@
-"""The markup queries over texts that SQL can't follow, against plain Python."""
+"""The markup queries over texts with all marks, against plain Python."""
 
 import re
 
@@ -68,6 +68,6 @@ def plain(text):
 )
 def test_every_text_has_a_row(spark, tmp_path, name, brute):
     spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = __spark_entry__.queries()[f"{name}_whole"](spark, str(tmp_path)).collect()
+    rows = __spark_entry__.queries()[name](spark, str(tmp_path)).collect()
     assert {r[0]: r[1] for r in rows} == {i: None if t is None else brute(t) for i, t in enumerate(TEXTS)}
     assert len(rows) == len(TEXTS)

@@ -198,50 +198,50 @@ def slugify(spark, sf_dir):
 _ENC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 
 
-@query(f"SELECT doc_id, {_ENC.format('text')} AS html FROM documents WHERE NOT regexp_matches(text, '[\\x{{a0}}-\\x{{ff}}]')")
+@query(f"""SELECT doc_id, list_reduce(list_prepend({_ENC.format('text')}, list_transform(range(160, 256), lambda i: chr(CAST(i AS INT)))),
+ lambda a, c: replace(a, c, '&#' || ord(c) || ';')) AS html FROM documents""")
 def html_encoded(spark, sf_dir):
-    """Texts without Latin-1 letters, which SQL can encode too."""
-    return table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[\u00a0-\u00ff]")).select("doc_id", html_encode(F.col("text")).alias("html"))
-
-
-@query()
-def html_encoded_whole(spark, sf_dir):
     """Every text, those with Latin-1 letters too."""
     return table(spark, sf_dir, "documents").select("doc_id", html_encode(F.col("text")).alias("html"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(text, '(\\*\\*|__)(.+?)(\\*\\*|__)', '<strong>\\2</strong>', 'g'), '\\[([^\\]\\[]*)\\]\\([^()]*\\)', '\\1', 'g') AS html FROM documents WHERE NOT regexp_matches(text, '[*_\\\\]')")
-def markdown_inlines(spark, sf_dir):
-    """Texts without stars, underscores and escapes, which must stay as they are but for links."""
-    return table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[*_\\]")).select("doc_id", markdown_inline(F.col("text")).alias("html"))
+def _sql_inline(x: str) -> str:
+    """Inline marks in SQL, whose expressions know no back references: one mark after the other."""
+    for pattern, into in (
+        (r"\[([^\]\[]*)\]\([^()]*\)", r"\1"),
+        (r"\*\*(.+?)\*\*", r"<strong>\1</strong>"),
+        (r"__(.+?)__", r"<strong>\1</strong>"),
+        (r"\*(.+?)\*", r"<em>\1</em>"),
+        (r"_(.+?)_", r"<em>\1</em>"),
+        (r"\\([\\*_\[\]()#!-])", r"\1"),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', '{into}', 'g')"
+    return x
 
 
-@query()
-def markdown_inlines_whole(spark, sf_dir):
+@query(f"SELECT doc_id, {_sql_inline('text')} AS html FROM documents")
+def markdown_inlines(spark, sf_dir):
     """Every text, those with stars, underscores and escapes too."""
     return table(spark, sf_dir, "documents").select("doc_id", markdown_inline(F.col("text")).alias("html"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE NOT regexp_matches(text, '[*_\\\\\\[#-]|[0-9]\\.'))
- SELECT doc_id, coalesce(string_agg('<p>' || trim(x) || CASE WHEN ends_with(x, '  ') THEN '<br/>' ELSE '' END || '</p>', '' ORDER BY i) FILTER (trim(x) <> ''), '') AS html FROM l GROUP BY doc_id""")
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+ k AS (SELECT *, regexp_extract(x, '^(#{{1,6}}) +(.*)$', 1) AS head, trim(regexp_extract(x, '^(#{{1,6}}) +(.*)$', 2)) AS title,
+ regexp_extract(x, '^[ \t]*(?:[*-]|[1-9][0-9]*\.) +(.*)$', 1) AS item FROM l),
+ h AS (SELECT doc_id, i, CASE WHEN trim(x) = '' THEN '' WHEN regexp_matches(x, '^-{{3,}}[ \t]*$') THEN '<hr/>'
+ WHEN head <> '' THEN '<h' || length(head) || '>' || {_sql_inline('title')} || '</h' || length(head) || '>'
+ WHEN item <> '' THEN '<ul><li>' || {_sql_inline('item')} || '</li></ul>'
+ ELSE '<p>' || {_sql_inline('trim(x)')} || CASE WHEN ends_with(x, '  ') THEN '<br/>' ELSE '' END || '</p>' END AS y FROM k),
+ t AS (SELECT doc_id, string_agg(y, '' ORDER BY i) AS html FROM h GROUP BY doc_id)
+ SELECT doc_id, html FROM documents LEFT JOIN t USING (doc_id)""")
 def markdown_html(spark, sf_dir):
-    """Paragraphs of texts without other markup; the marked ones are golden tests."""
-    return table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[*_\\\[#-]|[0-9]\.")).select("doc_id", markdown_lines(F.col("text")).alias("html"))
-
-
-@query()
-def markdown_html_whole(spark, sf_dir):
     """Every text, those with rules, headings, lists, links and emphasis too."""
     return table(spark, sf_dir, "documents").select("doc_id", markdown_lines(F.col("text")).alias("html"))
 
 
-@query("SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)%.*$', '', 'g'), '[{}$]', '', 'g'), '[ \\t]+', ' ', 'g'), chr(10), '') AS text FROM documents WHERE NOT contains(text, '\\')")
+@query(r"""SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)(^|[^\\])%.*$', '\1', 'g'),
+ '\\[A-Za-z0-9]+[ \t]*', '', 'g'), '\\([{}%&$#_])', '\1', 'g'), '[{}$]', '', 'g'), '[ \t]+', ' ', 'g'), chr(10), '') AS text FROM documents""")
 def latex_plain_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(~F.col("text").contains("\\")).select("doc_id", plain_latex(F.col("text")).alias("text"))
-
-
-@query()
-def latex_plain_text_whole(spark, sf_dir):
     """Every text, those with macros too."""
     return table(spark, sf_dir, "documents").select("doc_id", plain_latex(F.col("text")).alias("text"))
 
