@@ -21,7 +21,7 @@ from tomewright.llm.common import Shared, components
 from tomewright.llm.jaccard import jaccard_groups, without_near_copies
 from tomewright.llm.packing import best_fit, pack_tokens, write_packs
 from tomewright.llm.quality import quality
-from tomewright.llm.repeats import remove_repeats, without_repeats
+from tomewright.llm.repeats import remove_repeats, repeated_in, without_repeats
 from tomewright.llm.shard import shard_by_bytes, write_shards
 from tomewright.llm.vectors import near_vectors
 
@@ -82,6 +82,27 @@ def test_repeats_of_a_hot_passage(spark):
     assert got == fx.repeats(rows)
 
 
+def test_array_without_repeats():
+    pieces = [bytes(range(150)), bytes(range(200, 50, -1))]
+    assert repeated_in(pieces, np.array([1, 2]), np.array([1, 2]), np.array([0, 0]), 100) == []
+
+
+def test_repeats_of_keys_spread_over_tasks(spark, docs, monkeypatch):
+    """Keys of more than four rows are dealt by row, made one, and dealt finer."""
+    monkeypatch.setattr("tomewright.llm.repeats.HOT", 4)
+    rng = random.Random(4)
+    passage, frame = fx.words(rng, 60), [fx.words(rng, 5) for _ in range(2)]
+    rows = [(i, f"{fx.words(rng, 20)} {passage} {fx.words(rng, 20)}") for i in range(40)]
+    rows += [(i, f"{frame[0]} {i % 20:020d} {frame[1]} and {passage[:130]}{i % 3}") for i in range(40, 100)]
+    for bucket in (20_000, 3):
+        monkeypatch.setattr("tomewright.llm.repeats.BUCKET", bucket)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect()}
+        assert got == fx.repeats(rows)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs).collect()}
+    assert got == fx.repeats(PAIRS)
+
+
 def test_repeats_of_repeated_ids(spark, monkeypatch):
     """Texts of one id are cut each by itself, and rows go by id and text."""
     u, v = "the first text is " + "long " * 4 + fx.words(random.Random(5), 40), fx.words(random.Random(6), 40)

@@ -30,6 +30,8 @@ ARRAY = 1 << 20
 BUCKET = 20_000
 #: Bytes at each end of a passage by which a large bucket is dealt anew.
 OUTER = 24
+#: Rows of one key that go to one task; of more, each part goes to another first.
+HOT = 20_000
 #: Digests of texts that a task remembers, so that it cuts copies once.
 SEEN = 1_000_000
 
@@ -207,31 +209,56 @@ def repeated_in(pieces: list[bytes], doc: np.ndarray, name: np.ndarray, start: n
     later = np.zeros(len(by), bool)
     later[1:] = of_class[by][1:] == of_class[by][:-1]
     gone = by[later]
+    if not len(gone):
+        return []
     piece, at = piece[gone], at[gone]
     by = np.lexsort((at, piece))
     piece, at = piece[by], at[by]
-    cut = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else np.zeros(0, int)
+    cut = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1)]))
     last = np.append(cut[1:], len(at)) - 1
     return [(int(name[piece[i]]), int(at[i]), int(at[j]) + length) for i, j in zip(cut, last, strict=True)]
 
 
-def _scan(length: int, most: int | None):
+def _passages(key: int, piece: bytes, length: int, outer: int) -> Iterator[tuple[int, int, bytes]]:
+    """(place, key, passage) of each passage of a piece, under a new key made of
+    the old one and ``outer`` bytes of each end, which equal passages share."""
+    old = key.to_bytes(8, "little", signed=True)
+    for i in range(len(piece) - length + 1):
+        one = piece[i : i + length]
+        digest = hashlib.blake2b(old + one[:outer] + one[-outer:], digest_size=8).digest()
+        yield i, int.from_bytes(digest, "little", signed=True), one
+
+
+def _dealt(length: int, outer: int):
+    """Pieces (key, piece, doc_id, name, start) as their passages under new keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 1000):
+                cols: list[list] = [[] for _ in range(5)]
+                for key, piece, doc, name, start in zip(*(c.to_pylist() for c in b.slice(k, 1000).columns), strict=True):
+                    for i, new, one in _passages(key, piece, length, outer):
+                        for c, v in zip(cols, (new, one, doc, name, start + i), strict=True):
+                            c.append(v)
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "piece", "doc_id", "name", "start"])
+
+    return run
+
+
+def _scan(length: int, most: int, outer: int):
     """From pieces sorted by key, bytes, doc_id, name and start: the spans of pieces
     that stood before, and those that suffix arrays find, over runs of whole
     buckets. A bucket of over ``most`` pieces goes out again passage by passage,
-    under keys of their outer bytes, which equal passages share."""
+    under keys of their outer bytes. Of a bucket that is here only in part (the
+    sixth column) the first of equal pieces goes out again under its own key."""
     names, kinds = ["name", "from", "to", "doc_id", "key", "piece"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def dealt(key: int, piece: bytes, doc: int, name: int, start: int) -> list[tuple]:
-        out = []
-        for i in range(len(piece) - length + 1):
-            one = piece[i : i + length]
-            digest = hashlib.blake2b(key.to_bytes(8, "little", signed=True) + one[:OUTER] + one[-OUTER:], digest_size=8).digest()
-            out.append((name, start + i, start + i + length, doc, int.from_bytes(digest, "little", signed=True), one))
-        return out
+        return [(name, start + i, start + i + length, doc, new, one) for i, new, one in _passages(key, piece, length, outer)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []  # distinct pieces of finished buckets with more than one
@@ -245,7 +272,7 @@ def _scan(length: int, most: int | None):
             return [(*x, None, None, None) for x in repeated_in([r[0] for r in rows], doc, name, start, length)]
 
         for b in batches:
-            for k, piece, doc, name, start in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for k, piece, doc, name, start, part in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if k != key:
                     if len(now) > 1:
                         done += now
@@ -257,11 +284,13 @@ def _scan(length: int, most: int | None):
                 if piece == before:
                     if (name, start) != place:  # else one row given twice
                         out.append((name, start, start + len(piece), None, None, None))
+                elif part is not None:
+                    out.append((name, start, start + len(piece), doc, k, piece))
                 elif over:
                     out += dealt(k, piece, doc, name, start)
                 else:
                     now.append((piece, doc, name, start))
-                    if most is not None and len(now) > most:
+                    if len(now) > most:
                         for r in now:
                             out += dealt(k, *r)
                         now, over = [], True
@@ -296,6 +325,44 @@ def _rest(length: int):
     return run
 
 
+def _crowded(rows: DataFrame, n: int) -> DataFrame:
+    """(key, parts) of keys that very many of ``n`` rows have: at most 100,000."""
+    most = max(HOT, n // 100_000)
+    count = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    return count.select("key", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+
+
+def _found(pieces: DataFrame, hot: DataFrame, length: int, shared: Shared) -> DataFrame:
+    """(name, from, to) of all passages of ``pieces`` that stand earlier.
+
+    The pieces of a ``hot`` key are dealt by row over several tasks, where equal
+    ones become one; what is left goes on by its key. A key that still has very
+    many pieces, so different ones, goes on passage by passage, under keys of their
+    outer bytes, and if need be of all their bytes. So each round leaves fewer rows of
+    a key, and no task must hold or stream a key that grows with the corpus.
+    """
+    found = "name long, from int, to int, doc_id long, key long, piece binary"
+    cols, outer, spans = ["key", "piece", "doc_id", "name", "start"], OUTER, None
+    while True:
+        part = F.pmod(F.xxhash64("name", "start"), "parts").alias("part")
+        rows = pieces.join(F.broadcast(hot), "key", "left").select(*cols, part).repartition("key", "part").sortWithinPartitions(*cols)
+        out = shared.keep(rows.mapInArrow(_scan(length, BUCKET, outer), found))
+        shared.free()
+        each = out.where("piece is null").select("name", "from", "to")
+        spans = each if spans is None else spans.unionByName(each)
+        left = out.where("piece is not null").withColumnRenamed("from", "start").select(*cols)
+        n = left.count()
+        if not n:
+            return spans
+        wide = shared.keep(_crowded(left.join(F.broadcast(hot.select("key")), "key", "left_semi"), n).select("key"))
+        pieces = left
+        if not wide.isEmpty():
+            dealt = left.join(F.broadcast(wide), "key", "left_semi").select(*cols).mapInArrow(_dealt(length, outer), left.schema)
+            pieces = shared.keep(left.join(F.broadcast(wide), "key", "left_anti").select(*cols).unionByName(dealt))
+        hot = shared.keep(_crowded(pieces, n))
+        outer = length
+
+
 def _spans(texts: DataFrame, facts: DataFrame, length: int, shared: Shared) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text, name) of the texts that may lose a part, and (name, spans). Of equal texts
     only the first is searched; the others go whole or stay whole."""
@@ -309,22 +376,12 @@ def _spans(texts: DataFrame, facts: DataFrame, length: int, shared: Shared) -> t
     own = shared.keep(hits.where("again").select("name", F.col("start").alias("from"), (F.col("start") + F.col("n")).alias("to")))
     first = facts.groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     held = shared.keep(texts.join(lists.join(first, "name"), ["name", "doc_id"]).select("doc_id", "text", "found", "name"))
+    counted = shared.keep(_crowded(hits.where("not again"), hits.count()))
     shared.drop(hits)
     shared.free()
     pieces = held.mapInArrow(_pieces(length), "doc_id long, key long, start int, piece binary, name long")
-    found = "name long, from int, to int, doc_id long, key long, piece binary"
-
-    def scanned(rows: DataFrame, most: int | None) -> DataFrame:
-        cols = ["key", "piece", "doc_id", "name", "start"]
-        return shared.keep(rows.select(*cols).repartition("key").sortWithinPartitions(*cols).mapInArrow(_scan(length, most), found))
-
-    spans = scanned(pieces, BUCKET)
-    shared.free()
-    anew = spans.where("piece is not null").withColumnRenamed("from", "start")
-    each = spans.where("piece is null").select("name", "from", "to")
-    if not anew.isEmpty():
-        each = each.unionByName(scanned(anew, None).select("name", "from", "to"))
-    lists = each.unionByName(own).groupBy("name").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    spans = _found(pieces, counted, length, shared)
+    lists = spans.unionByName(own).groupBy("name").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     return held.select("doc_id", "text", "name"), lists
 
 
