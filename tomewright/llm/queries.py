@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomewright.llm.audit import audit_filters
 from tomewright.llm.bpe import encode_decode
 from tomewright.llm.buckets import batches
 from tomewright.llm.common import table
+from tomewright.llm.importance import importance
 from tomewright.llm.jaccard import jaccard_groups
 from tomewright.llm.licenses import scan_licenses
+from tomewright.llm.mixing import mix_sources
 from tomewright.llm.packing import pack_tokens
 from tomewright.llm.pii import scan_pii
 from tomewright.llm.quality import quality
@@ -66,6 +69,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), grams=1, buckets=10_000, percent=10, min_words=20, seed=2024)
+    return out.drop("n_words")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), percent=150, copies=2)
+    share = F.col("shares")[0]
+    return out.select("doc_id", "size", share["source_size"].alias("source_size"), share["target"].alias("target"), "taken")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,5 +91,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_suffix_dedup, op2_token_output, op3_packing, op4_vectors, op5_jaccard, op6_pii, op7_quality, op8_sharding, op9_license_scan, op10_bpe)
+    listed = (
+        op1_suffix_dedup, op2_token_output, op3_packing, op4_vectors, op5_jaccard, op6_pii, op7_quality, op8_sharding, op9_license_scan, op10_bpe,
+        op11_importance, op12_filter_audit, op13_mixing,
+    )
     return {f.__name__: f for f in listed} | {"pipeline": pipeline}
