@@ -90,9 +90,9 @@ def test_links(spark):
 def test_manifest(spark):
     rows = spark.createDataFrame([("A", 1), ("A", 2), ("X", 3)], "source string, v int")
     books = spark.createDataFrame([("A", "Alpha"), ("B", "Beta")], "shorthand string, full_name string")
-    m = manifest(rows, books, "v")
+    m = manifest(rows, books)
     got = {r.shorthand: (r.n_rows, r.tag) for r in m.collect()}
     assert got["A"][0] == 2 and len(got["A"][1]) == 6 and got["B"] == (0, None)
-    again = {r.shorthand: r.tag for r in manifest(rows.orderBy(F.col("v").desc()), books, "v").collect()}
+    again = {r.shorthand: r.tag for r in manifest(rows.orderBy(F.col("v").desc()), books).collect()}
     assert again["A"] == got["A"][1]
     assert index_json(m, "g").first()[0].startswith('{"g":{"A":{"title":"Alpha"')

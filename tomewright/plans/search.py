@@ -16,10 +16,14 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tomewright.functions.cards import COST
 from tomewright.functions.text import full_text, infix, same, sure, truthy
 
 Query = list[list[list[str]]]
 
+#: The saves that a term may name.
+SAVES = ("will", "fortitude", "reflex")
+
 
 def parse_query(text: str) -> Query:
     return [[[" ".join(z.split()) for z in y.split(",")] for y in x.split("|")] for x in text.split(";")]
@@ -65,7 +69,7 @@ def compile_term(term: str, d: Dialect, df: DataFrame, strict_compat: bool = Fal
         rules.append(truthy(F.col(d.materials), "string"))
     if d.prepared and term == "prepared":
         rules.append(sure(F.col(d.prepared)))
-    if d.save and term.lower() in ("will", "fortitude", "reflex"):
+    if d.save and term.lower() in SAVES:
         rules.append(infix(F.col(d.save), term))
     first = term[0]
     if first == "$":
@@ -74,7 +78,7 @@ def compile_term(term: str, d: Dialect, df: DataFrame, strict_compat: bool = Fal
         if d.components:
             rules.append(sure(F.exists(F.col(d.components), lambda c: infix(c["display"], rest))))
         if d.priced and d.materials and term == "$$":
-            rules.append(sure(F.col(d.materials).rlike(r"(?i)[1-9][0-9,]+\s*gp")))
+            rules.append(sure(F.col(d.materials).rlike(COST)))
     elif first == ":" and d.source:
         rules.append(same(F.col(d.source), term if strict_compat else rest))
     elif first == "#" and d.hint:

@@ -59,7 +59,7 @@ def empty_books(spark, sf_dir):
 @query(f"SELECT shorthand, full_name, count(doc_id) AS n_rows, count(doc_id) > 0 AS tagged FROM {_BOOKS} LEFT JOIN documents ON source = shorthand GROUP BY ALL")
 def manifest_index(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    return manifest(rows, books(spark), "doc_id").select("shorthand", "full_name", "n_rows", F.coalesce(F.col("tag").rlike("^[0-9A-F]{6}$"), F.lit(False)).alias("tagged"))
+    return manifest(rows, books(spark)).select("shorthand", "full_name", "n_rows", F.coalesce(F.col("tag").rlike("^[0-9A-F]{6}$"), F.lit(False)).alias("tagged"))
 
 
 @query(f"SELECT source, count(*) AS n FROM documents WHERE source IN (SELECT shorthand FROM {_BOOKS}) GROUP BY ALL")

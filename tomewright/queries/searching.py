@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.operators.lists import imported, included, list_json, prepared_rows
+from tomewright.operators.lists import included, prepared_rows
 from tomewright.plans.search import Dialect, compile_query, parse_query, saved_queries, search
 from tomewright.queries import query, table
 from tomewright.streaming.incremental import drained, searched_stream, windowed_counts
@@ -219,27 +219,6 @@ def prepared_flag(spark, sf_dir):
     return search(rows, "prepared", Dialect(prepared="is_prepared")).select("p_partkey")
 
 
-_LISTS = [
-    ("a", list_json([[["red"]]], ["X"], [], "one")),
-    ("b", '{"sources": [], "prepared": ["q"], "filter": [[["x", "!y"]]]}'),
-    ("c", '{"sources": [], "query": [[["x"]]]}'),
-    ("d", '{"sources": "X", "prepared": [], "query": "red"}'),
-]
-
-
-@query("SELECT * FROM (VALUES ('a', 'one', 1::BIGINT), ('b', 'classic', 2)) t(name, game, n_terms)")
-def list_import(spark, sf_dir):
-    rows = spark.createDataFrame(_LISTS, "name string, raw string").withColumn("x", imported(F.col("raw"), "classic")).where("x is not null")
-    return rows.select("name", "x.game", F.size(F.flatten(F.flatten("x.query"))).cast("long").alias("n_terms"))
-
-
-@query("SELECT * FROM (VALUES ('a', 'one')) t(name, game)")
-def list_index(spark, sf_dir):
-    """Lists of the chosen games, by name."""
-    rows = spark.createDataFrame(_LISTS, "name string, raw string").withColumn("x", imported(F.col("raw"), "classic"))
-    return rows.select("name", "x.game").where(F.col("game").isin("one", "two")).orderBy("name")
-
-
 @query(f"SELECT p_partkey FROM part WHERE {_has('red')}")
 def stream_search(spark, sf_dir):
     """The search over a stream of files, run until they are all read."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tomewright.functions.text import content_tag
 from tomewright.operators.books import book_counts, known_rows
+from tomewright.sources.snapshot import dealt_by_book
 
 
 def record_json(df: DataFrame) -> Column:
@@ -14,12 +15,14 @@ def record_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
 
 
-def write_catalogue(rows: DataFrame, books: DataFrame, path: str) -> None:
-    """Replace the catalogue at ``path``: rows of configured books by source."""
-    known_rows(rows, books).write.mode("overwrite").partitionBy("source").parquet(path)
+def write_catalogue(rows: DataFrame, books: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Replace the catalogue at ``path``: rows of configured books by source, a file
+    for each book, or for each ``rows_per_file`` rows of a large one."""
+    sizes = book_counts(rows, books).select(F.col("shorthand").alias("source"), "n_rows").where("n_rows > 0")
+    dealt_by_book(rows, sizes, rows_per_file).drop("n_rows", "_deal").write.mode("overwrite").partitionBy("source").parquet(path)
 
 
-def manifest(rows: DataFrame, books: DataFrame, key: str) -> DataFrame:
+def manifest(rows: DataFrame, books: DataFrame) -> DataFrame:
     """shorthand, full_name, tag and n_rows of every configured book, also empty
     ones. The tag follows the content: it is made of the rows' digests, each of
     which is summed, so that no partition is gathered in one place."""
