@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tomewright.functions.text import camel_to_title, find_window, full_text, html_encode, infix_word, latex_plain, markdown_lines, natural_join, ordinal, same, split_by, tags_as_html
 from tomewright.plans.dialects import ARCANE, LEVELLED, TRAITED
 from tomewright.plans.search import Dialect, compile_query, parse_query, search
-from tomewright.plans.sorting import parse_sorting, sort_order
+from tomewright.plans.sorting import card_order, parse_sorting, sort_order
 
 D = Dialect(level="level", exact=("school",), flags=("ritual",), texts=("text",), materials="materials", priced=True, hint="hint")
 ROWS = [
@@ -128,10 +128,36 @@ def test_dialects(spark):
     assert names("ritual") == names("1 REACTION") == names("!material") == ["Bolt"]
     assert [r.name for r in df.orderBy(*sort_order("casting_time", LEVELLED, [F.col("name")], df)).collect()] == ["Bolt", "Ward"]
     other = spark.createDataFrame([("Hex", ["Curse"], ["occult"], "Will negates", 1)], "name string, tags array<string>, traditions array<string>, save string, level int")
-    for c in ("range", "area", "duration", "casting_time", "description", "reaction", "summary"):
+    for c in ("range", "area", "duration", "casting_time", "description", "reaction", "summary", "components"):
         other = other.withColumn(c, F.lit(None).cast("string"))
     assert all(search(other, q, TRAITED).count() == 1 for q in ("curse", "OCCULT", "will", "L1", "\\hex")) and search(other, "reflex", TRAITED).count() == 0
-    assert {"name", *ARCANE.exact} <= {*ARCANE.headers} and set(ARCANE.comparers) == {"casting_time", "duration", "distance"}
+    assert ARCANE.headers == ("power_level", "arcanum", "casting_time", "duration", "distance", "combat", "reaction")
+    assert LEVELLED.headers == ("level", "school", "casting_time", "ritual", "concentration", "source") and TRAITED.headers == ("level", "range", "casting_time", "components")
+    assert set(ARCANE.comparers) == {"power_level", "arcanum", "casting_time", "duration", "distance"} and set(TRAITED.comparers) == {"casting_time", "range", "components"}
+
+
+def test_traited_entries_sort_and_match(spark):
+    rows = [("Éa", 60, 0, "touch", "VS", True), ("ea", 6, 0, "Self", "V", False), ("Eb", 6, 30, "30 feet", "S", None), ("ex", 1, 0, "self", None, None), ("ez", 3, 5, "5 feet", "a long one", None)]
+    df = spark.createDataFrame(rows, "name string, seconds int, feet int, range string, components string, prepared boolean")
+    for c in ("area", "duration", "casting_time", "description", "reaction", "summary", "save"):
+        df = df.withColumn(c, F.lit(None).cast("string"))
+    df = df.withColumns({"level": F.lit(1), "tags": F.array(F.lit("Öl")), "traditions": F.lit(None).cast("array<string>")})
+    order = lambda key: [r.name for r in df.orderBy(*sort_order(key, TRAITED, [F.col("name")], df)).collect()]
+    names = lambda q: {r.name for r in search(df, q, TRAITED).collect()}
+    assert order("casting_time") == ["ex", "ez", "Eb", "ea", "Éa"]
+    assert order("range") == ["ex", "ea", "Éa", "ez", "Eb"] and order("-range") == ["Eb", "ez", "Éa", "ea", "ex"]
+    assert order("components") == ["ex", "Eb", "ea", "Éa", "ez"]
+    assert [r.name for r in df.orderBy(*card_order(TRAITED)).collect()] == ["ea", "Éa", "Eb", "ex", "ez"]
+    assert names("$v") == {"Éa", "ea"} and names("prepared") == {"Éa"} and names("$") == {"Éa", "ea", "Eb", "ez"}
+    assert names("öl") == names("o\u0308l".replace("o\u0308", "ö")) == {r[0] for r in rows} and names("ol") == set()
+    assert names("SELF") == {"ea", "ex"} and names("\\éA") == {"Éa"} and names("\\EA") == {"ea"}
+
+
+def test_arcane_enums_sort(spark):
+    df = spark.createDataFrame([("a", "Greater", "Wytch"), ("b", "Ritual", "General"), ("c", "Petty", "Charms"), ("d", "Generalist", "Divine"), ("e", "other", None)], "name string, power_level string, arcanum string")
+    order = lambda key: [r.name for r in df.orderBy(*sort_order(key, ARCANE, [F.col("name")], df)).collect()]
+    assert order("power_level") == ["e", "b", "c", "d", "a"] and order("arcanum") == ["e", "b", "c", "d", "a"]
+    assert [r.name for r in df.orderBy(*card_order(ARCANE)).collect()] == ["a", "b", "c", "d", "e"]
 
 
 def test_windows_groups_and_tags(spark):

@@ -27,9 +27,19 @@ def infix_word(hay: Column, needle: str) -> Column:
     return sure(hay.rlike(rf"(?iu)(^|\W){quoted}($|\W)"))
 
 
+def without_case(a: Column) -> Column:
+    """A text that compares by letters and accents, however these are coded, not by case."""
+    return F.collate(a, "UNICODE_CI")
+
+
+def in_language(a: Column) -> Column:
+    """A text that sorts by letters first, then by accents, then small before capital."""
+    return F.collate(a, "UNICODE")
+
+
 def same(a: Column, b: str) -> Column:
-    """Equal but for case; accents count."""
-    return sure((F.length(a) == len(b)) & (F.lower(a) == F.lit(b.lower())))
+    """Equal but for case, and as long; accents count."""
+    return sure((F.length(a) == len(b)) & (without_case(a) == without_case(F.lit(b))))
 
 
 def truthy(c: Column, kind: str) -> Column:

@@ -31,8 +31,11 @@ def parse_query(text: str) -> Query:
 
 @dataclass(frozen=True)
 class Dialect:
-    """Which columns the rules look at. ``comparers`` give sort keys for columns
-    that don't sort by their own value."""
+    """Which columns the rules look at; ``prepared`` counts only where the rows have
+    it. ``components`` are records with a display text, ``component_text`` is one
+    text. ``cards`` is the order of cards (level and name if empty), by the rules of
+    language where ``local``. ``comparers`` give sort keys for columns that don't
+    sort by their own value."""
 
     name: str = "name"
     source: str | None = "source"
@@ -43,11 +46,14 @@ class Dialect:
     texts: tuple[str, ...] = ()
     materials: str | None = None
     components: str | None = None
+    component_text: str | None = None
     hint: str | None = None
     save: str | None = None
     prepared: str | None = None
     priced: bool = False
     headers: tuple[str, ...] = ()
+    cards: tuple[str, ...] = ()
+    local: bool = False
     comparers: dict[str, Callable[[], list[Column]]] = field(default_factory=dict)
 
 
@@ -67,7 +73,7 @@ def compile_term(term: str, d: Dialect, df: DataFrame, strict_compat: bool = Fal
     rules += [truthy(F.col(c), kinds[c]) for c in d.flags if c == term]
     if d.materials and term == "material":
         rules.append(truthy(F.col(d.materials), "string"))
-    if d.prepared and term == "prepared":
+    if d.prepared in kinds and term == "prepared":
         rules.append(sure(F.col(d.prepared)))
     if d.save and term.lower() in SAVES:
         rules.append(infix(F.col(d.save), term))
@@ -77,6 +83,8 @@ def compile_term(term: str, d: Dialect, df: DataFrame, strict_compat: bool = Fal
             rules.append(infix(F.col(d.materials), rest) & truthy(F.col(d.materials), "string"))
         if d.components:
             rules.append(sure(F.exists(F.col(d.components), lambda c: infix(c["display"], rest))))
+        if d.component_text:
+            rules.append(infix(F.col(d.component_text), rest) & truthy(F.col(d.component_text), "string"))
         if d.priced and d.materials and term == "$$":
             rules.append(sure(F.col(d.materials).rlike(COST)))
     elif first == ":" and d.source:
@@ -115,6 +123,14 @@ def search(df: DataFrame, query: str | Query, d: Dialect, strict_compat: bool =
     return df.where(compile_query(query, d, df, strict_compat))
 
 
+def search_with_members(df: DataFrame, term: str, d: Dialect, members: DataFrame, key: str) -> DataFrame:
+    """Rows that a single term finds by themselves, or whose ``key`` is among
+    ``members``: for terms that look into a detail table, which is filtered there,
+    so that details are never gathered into lists. Each row comes once."""
+    held = members.select(key).distinct().withColumn("_held", F.lit(True))
+    return df.join(held, key, "left").where(compile_term(term, d, df) | sure(F.col("_held"))).drop("_held")
+
+
 def saved_queries(df: DataFrame, lists: dict[str, str | Query], d: Dialect) -> DataFrame:
     """A row of ``df`` for each saved query it matches, with its name in ``list``:
     all queries in one scan, no join."""

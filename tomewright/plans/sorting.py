@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tomewright.functions.text import in_language
 from tomewright.plans.search import Dialect
 
 
@@ -37,5 +38,6 @@ def sorted_rows(df: DataFrame, sorting: str | None, d: Dialect, ties: list[Colum
 
 
 def card_order(d: Dialect) -> list[Column]:
-    """By level, where there is one, then name."""
-    return [F.col(c).asc() for c in (d.level, d.name) if c]
+    """By the columns of the dialect's cards; else by level, where there is one, then name."""
+    name = in_language(F.col(d.name)) if d.local else F.col(d.name)
+    return [(name if c == d.name else F.col(c)).asc() for c in d.cards or (d.level, d.name) if c]

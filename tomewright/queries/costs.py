@@ -9,6 +9,7 @@ from tomewright.functions.money import format_price, format_sum, scaled
 from tomewright.functions.parsing import gcd
 from tomewright.operators.costs import cost_totals, price_sums
 from tomewright.operators.materials import alias, crafted, extended, glob_capture, mismatched, normalized, resolve_components, variants
+from tomewright.operators.rules import extended_by
 from tomewright.queries import query, table
 
 #: Units in base units; 1 has no unit.
@@ -100,6 +101,48 @@ def alias_glob(spark, sf_dir):
     return alias(materials(spark, sf_dir), "* Gear", "* cog")
 
 
+#: A chain: the third rule needs the first, the fourth makes a name that is there.
+RULES = [
+    (1, "* ring", "* band", 6, "1", 2, "1"), (2, "Red *", "scarlet *", None, None, None, None), (3, "* band", "* hoop", None, None, None, None),
+    (4, "scarlet hoop", "red ring", None, None, None, None), (5, "*gear", "cog *", 1, "kg", 3, "drops"),
+]
+
+
+def derived(spark, sf_dir):
+    rules = spark.createDataFrame(RULES, "step int, pattern string, into string, uses int, uses_unit string, makes int, makes_unit string")
+    return extended_by(materials(spark, sf_dir), rules, units(spark))
+
+
+def _chain() -> str:
+    """The rules one after the other in SQL; s holds the materials so far, r the refused."""
+    out, last = f"WITH {_MATERIALS}, s0 AS (SELECT name, CAST(amount_number AS BIGINT) AS n, amount_unit AS u, copper, 0 AS made FROM m)", "s0"
+    steps = [
+        ("ends_with(lower(name), ' ring')", "name[:-6] || ' band'", "u = '1'", "n // gcd(6, n) * 2", "'1'", "6 // gcd(6, n) * copper"),
+        ("starts_with(lower(name), 'red ')", "'scarlet ' || name[5:]", "true", "n", "u", "copper"),
+        ("ends_with(lower(name), ' band')", "name[:-6] || ' hoop'", "true", "n", "u", "copper"),
+        ("lower(name) = 'scarlet hoop'", "'red ring'", "true", "n", "u", "copper"),
+        ("ends_with(lower(name), 'gear')", "'cog ' || name[:-5]", "u = 'g'", "n // gcd(1000, n) * 3", "'drop'", "1000 // gcd(1000, n) * copper"),
+    ]
+    for k, (when, into, fits, n, u, copper) in enumerate(steps, 1):
+        out += f""", c{k} AS (SELECT {into} AS name, CAST({n} AS BIGINT) AS n, {u} AS u, CAST({copper} AS BIGINT) AS copper, {k} AS made, {fits} AS fits FROM {last} WHERE {when}),
+ j{k} AS (SELECT *, count(*) OVER (PARTITION BY lower(name), fits) AS same, (SELECT min(made) FROM {last} p WHERE lower(p.name) = lower(c{k}.name)) AS earlier FROM c{k}),
+ s{k} AS (SELECT * FROM {last} UNION ALL SELECT name, n, u, copper, made FROM j{k} WHERE fits AND same = 1 AND earlier IS NULL)"""
+        last = f"s{k}"
+    return out
+
+
+@query(f"{_chain()} SELECT name, n AS amount_number, u AS amount_unit, copper, made FROM s5")
+def derive_by_rules(spark, sf_dir):
+    """Part names under a table of rules, rule after rule."""
+    return derived(spark, sf_dir)[0].drop("reference")
+
+
+@query(_chain() + " UNION ALL ".join([""] + [f"SELECT made AS step, name, CASE WHEN NOT fits THEN 'unit' WHEN earlier = 0 THEN 'name is there' WHEN earlier > 0 THEN 'name made before' ELSE 'made twice' END AS reason FROM j{k} WHERE NOT (fits AND same = 1 AND earlier IS NULL)" for k in range(1, 6)])[len(" UNION ALL"):])
+def derive_rejects(spark, sf_dir):
+    """What the rules may not make, and why."""
+    return derived(spark, sf_dir)[1]
+
+
 @query("SELECT p_partkey, CASE WHEN starts_with(lower(p_name), 'b') AND ends_with(lower(p_name), 'r') THEN p_name[2:-2] END AS taken FROM part")
 def glob_captures(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", glob_capture(F.col("p_name"), "B*r").alias("taken"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tomewright.functions.quantity import ACTION_UNITS, computed, distance, duration, least_quantity, ranks
 from tomewright.operators.ranking import ranked, ranked_by_value
+from tomewright.plans.dialects import ARCANA, ARCANE, POWER_LEVELS, TRAITED
 from tomewright.plans.search import Dialect
 from tomewright.plans.sorting import card_order, sort_order
 from tomewright.queries import query, table
@@ -62,6 +63,51 @@ def sort_length_then_text(spark, sf_dir):
     return _rank(parts(spark, sf_dir), "name", Dialect(comparers={"name": lambda: [F.length("name"), F.col("name")]}))
 
 
+_ACCENTS = """n AS (SELECT p_partkey, p_size, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, 'e', 'é') WHEN 2 THEN upper(replace(p_name, 'e', 'é')) ELSE p_name END AS name FROM part)"""
+_LETTERS = "strip_accents(lower({0})), lower({0}), translate({0}, 'abcdefghijklmnopqrstuvwxyzéABCDEFGHIJKLMNOPQRSTUVWXYZÉ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZÉabcdefghijklmnopqrstuvwxyzé')"
+
+
+def accented(spark, sf_dir):
+    """Part names in both cases, with and without accents."""
+    k, name = F.col("p_partkey") % 4, F.col("name")
+    with_ = F.replace(name, F.lit("e"), F.lit("é"))
+    return parts(spark, sf_dir).withColumn("name", F.when(k == 0, F.upper(name)).when(k == 1, with_).when(k == 2, F.upper(with_)).otherwise(name))
+
+
+@query(f"WITH {_ACCENTS} SELECT p_partkey, row_number() OVER (ORDER BY {_LETTERS.format('name')}, p_partkey) AS rank FROM n")
+def sort_in_language(spark, sf_dir):
+    """Cards by letters first, then accents, then case."""
+    rows, d = accented(spark, sf_dir), Dialect(cards=("name",), local=True)
+    return ranked(rows, [*card_order(d), F.col("p_partkey")]).select("p_partkey", "rank")
+
+
+@query(f"WITH {_ACCENTS} SELECT p_partkey, row_number() OVER (ORDER BY {_LETTERS.format('name')} , p_partkey) AS rank FROM n".replace("ORDER BY", "ORDER BY length(name),"))
+def sort_components_in_language(spark, sf_dir):
+    rows = accented(spark, sf_dir).select("p_partkey", F.col("name").alias("components"))
+    return _rank(rows, "components", TRAITED)
+
+
+@query(f"WITH {_ACCENTS}, r AS (SELECT *, CASE WHEN p_size % 3 = 0 THEN p_size ELSE 0 END AS feet FROM n) SELECT p_partkey, row_number() OVER (ORDER BY feet, CASE WHEN feet = 0 THEN strip_accents(lower(name)) END, CASE WHEN feet = 0 THEN lower(name) END, CASE WHEN feet = 0 THEN {_LETTERS.format('name').split('), ', 2)[2]} END, p_partkey) AS rank FROM r")
+def sort_range_in_language(spark, sf_dir):
+    """By feet; ranges without any by their text."""
+    rows = accented(spark, sf_dir).select("p_partkey", F.col("name").alias("range"), F.when(F.col("level") % 3 == 0, F.col("level")).otherwise(0).alias("feet"))
+    return _rank(rows, "range", TRAITED)
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY CASE p_size % 5 WHEN 0 THEN 15 WHEN 1 THEN 15 WHEN 2 THEN 22 WHEN 3 THEN 30 ELSE 0 END, p_partkey) AS rank FROM part")
+def sort_power_level(spark, sf_dir):
+    """By the difficulty of the level; some levels share one."""
+    names = F.array(*map(F.lit, POWER_LEVELS))
+    return _rank(parts(spark, sf_dir).select("p_partkey", F.element_at(names, (F.col("level") % 5 + 1).cast("int")).alias("power_level")), "power_level", ARCANE)
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size % 9 DESC, p_partkey) AS rank FROM part")
+def sort_arcanum(spark, sf_dir):
+    """Arcana in their fixed order, reversed."""
+    names = F.array(*map(F.lit, ARCANA))
+    return _rank(parts(spark, sf_dir).select("p_partkey", F.element_at(names, (F.col("level") % 9 + 1).cast("int")).alias("arcanum")), "-arcanum", ARCANE)
+
+
 _FEET = "CASE WHEN p_size % 5 = 0 THEN 0 ELSE p_size END"
 
 

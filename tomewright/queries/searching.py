@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomewright.functions.text import infix
 from tomewright.operators.lists import included, prepared_rows
-from tomewright.plans.search import Dialect, compile_query, parse_query, saved_queries, search
+from tomewright.plans.dialects import ARCANE, LEVELLED, TRAITED
+from tomewright.plans.search import Dialect, compile_query, parse_query, saved_queries, search, search_with_members
 from tomewright.queries import query, table
 from tomewright.streaming.incremental import drained, searched_stream, windowed_counts
 
@@ -14,7 +16,6 @@ PARTS = Dialect(level="level", exact=("school",), headers=("level", "school"))
 COSTED = Dialect(level="level", exact=("school",), materials="materials", priced=True, hint="hint")
 TEXTS = Dialect(name="source", source="source", exact=("lang",), texts=("text",), flags=("toxic", "quality"))
 LINES = Dialect(name="line", source=None, flags=("returned", "discounted"))
-ORDERS = Dialect(name="o_orderpriority", source=None, exact=("o_orderstatus",), components="components")
 TRAITS = Dialect(exact=("range",), exact_lists=("tags",), save="save", components=None, level="level")
 
 
@@ -154,6 +155,59 @@ def dsl_exact_in_list(spark, sf_dir):
     return search(traits(spark, sf_dir), "promo|red", TRAITS).select("p_partkey")
 
 
+@query("""WITH n AS (SELECT p_partkey, p_size, p_type, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, 'e', 'é') ELSE p_name END AS name FROM part)
+ SELECT p_partkey FROM n WHERE lower(name) IN ('red gear', 'réd gear') OR contains(lower(name), chr(92) || 'red gear') OR contains(lower(name), chr(92) || 'réd gear')""")
+def dsl_same_accents(spark, sf_dir):
+    """Names that are the same but for case; accents count."""
+    k, name = F.col("p_partkey") % 4, F.col("name")
+    rows = parts(spark, sf_dir).withColumn("name", F.when(k == 0, F.upper(name)).when(k == 1, F.replace(name, F.lit("e"), F.lit("é"))).otherwise(name))
+    return search(rows, "\\Red Gear|\\RÉD gear", PARTS).select("p_partkey")
+
+
+def levelled_entries(spark, sf_dir):
+    """Parts as entries of the first kind."""
+    size = F.col("level")
+    return parts(spark, sf_dir).select(
+        "p_partkey", "name", "source", "level", F.lower("school").alias("school"), F.concat(size.cast("string"), F.when(size % 2 == 0, " minutes").otherwise(" hours")).alias("casting_time"),
+        F.when(size % 3 == 0, "instant").alias("duration"), F.split("name", " ").alias("classes"), (size % 2 == 0).alias("verbal"), (size % 5 == 0).alias("somatic"), (size % 7 == 0).alias("ritual"),
+        F.lit(None).cast("boolean").alias("concentration"), F.when(size > 40, "more each level").alias("upcast"), F.when(size % 4 == 0, "a gem, 1,000 GP").when(size % 4 == 1, "dust").alias("materials"),
+        F.when(size % 6 == 0, "see elsewhere").alias("hint"), F.concat(F.lit("A "), F.col("name")).alias("description"), F.lit(None).cast("string").alias("stat_block"), (F.col("p_partkey") % 10 == 0).alias("prepared"),
+    )
+
+
+@query(f"""WITH x AS (SELECT *, {_has('gear')} AS gear, list_contains(string_split(lower(p_name), ' '), 'red') AS red FROM part)
+ SELECT p_partkey FROM x WHERE (p_size % 4 = 0 OR contains(lower(p_name), '$$')) AND NOT (p_size % 7 = 0 OR contains(lower(p_name), 'ritual'))
+ OR (lower(p_type) = 'promo' OR contains(lower(p_name), 'promo')) AND (red OR contains(lower(p_name), 'red') OR lower(p_type) = 'red') OR (p_size > 40 OR contains(lower(p_name), 'upcast')) AND (p_size % 6 = 0 OR contains(lower(p_name), '#else'))
+ OR (p_partkey % 10 = 0 OR contains(lower(p_name), 'prepared')) AND (lower(p_brand) = 'brand#12' OR contains(lower(p_name), ':brand#12')) OR gear AND p_size % 9 = 0 AND false""")
+def dsl_levelled(spark, sf_dir):
+    """Costly materials, classes, schools, upcasts, hints, prepared names and sources of the first dialect."""
+    return search(levelled_entries(spark, sf_dir), "$$,!ritual|promo,red|upcast,#else|prepared,:Brand#12", LEVELLED).select("p_partkey")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE contains(lower(o_orderpriority), '$blue') OR contains(lower(o_orderpriority), 'ritual') OR o_orderstatus = 'P' OR (o_custkey % 50 = 0)
+ OR (o_totalprice > 100000 AND EXISTS (SELECT 1 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey = o_orderkey AND contains(lower(p_name), 'blue')))""")
+def dsl_arcane(spark, sf_dir):
+    """Orders as entries of the second kind: components, arcana and flags."""
+    none = F.lit(None).cast("string")
+    rows = orders_with_components(spark, sf_dir).select(
+        "o_orderkey", F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderstatus") == "P", "Ritual").otherwise("Nature").alias("arcanum"), F.lit("Petty").alias("power_level"), none.alias("distance"), none.alias("duration"),
+        none.alias("casting_time"), (F.col("o_totalprice") > 100000).alias("combat"), (F.col("o_custkey") % 50 == 0).alias("reaction"), "components", *[none.alias(c) for c in ("brief", "effect", "crit_success", "crit_fail", "extra")],
+    )
+    return search(rows, "combat,$Blue|RITUAL|reaction", ARCANE).select("o_orderkey")
+
+
+@query(f"""SELECT p_partkey FROM part WHERE (p_size % 4 = 0 OR {_has('reflex')}) AND NOT (p_size BETWEEN 10 AND 20 OR {_has('l10-20')}) OR (lower(p_type) = 'economy' OR {_has('economy')}) AND (contains(lower(p_brand), '#2') OR {_has('$#2')})
+ OR regexp_matches(p_name, '(^|\\W)anvil($|\\W)', 'i')""")
+def dsl_traited(spark, sf_dir):
+    """Saves, levels, traditions, a text of components and full text of the third dialect."""
+    size, none = F.col("level"), F.lit(None).cast("string")
+    rows = parts(spark, sf_dir).select(
+        "p_partkey", "name", "level", none.alias("range"), none.alias("area"), none.alias("duration"), none.alias("casting_time"), F.array(F.lit("x"), none).alias("tags"), F.array("school").alias("traditions"),
+        F.when(size % 4 == 0, "basic Reflex").alias("save"), F.col("source").alias("components"), F.col("name").alias("description"), none.alias("reaction"), none.alias("summary"),
+    )
+    return search(rows, "REFLEX,!L10-20|economy,$#2|//anvil", TRAITED).select("p_partkey")
+
+
 def texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
 
@@ -190,7 +244,11 @@ def orders_with_components(spark, sf_dir):
 @query("""SELECT o_orderkey FROM orders WHERE contains(lower(o_orderpriority), '$blue') OR o_orderkey IN
  (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_name), 'blue'))""")
 def dsl_any_component(spark, sf_dir):
-    return search(orders_with_components(spark, sf_dir), "$Blue", ORDERS).select("o_orderkey")
+    """Orders one of whose lines has a component like that; lines are filtered by part
+    before they meet the orders."""
+    component = table(spark, sf_dir, "part").where(infix(F.col("p_name"), "Blue")).select(F.col("p_partkey").alias("l_partkey"))
+    lines = table(spark, sf_dir, "lineitem").join(component, "l_partkey", "left_semi").select(F.col("l_orderkey").alias("o_orderkey"))
+    return search_with_members(table(spark, sf_dir, "orders"), "$Blue", Dialect(name="o_orderpriority", source=None, exact=("o_orderstatus",)), lines, "o_orderkey").select("o_orderkey")
 
 
 @query(f"""SELECT p_partkey, 'warm' AS list FROM part WHERE {_has('red')} AND NOT {_has('ring')} AND (p_size BETWEEN 1 AND 20)
