@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.llm.buckets import batches
-from tomewright.llm.common import delete, shared_folder, staged, table
+from tomewright.llm.common import delete, shared_folder, table
 from tomewright.llm.jaccard import without_near_copies
 from tomewright.llm.pii import masked
 from tomewright.llm.quality import quality
@@ -54,11 +54,11 @@ def length_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality rules", staged(good_documents)),
-    ("n-gram Jaccard join", staged(one_of_near_copies)),
-    ("suffix-array dedup", staged(without_repeated_passages)),
-    ("PII", staged(masked_identifiers)),
-    ("packing", staged(length_batches)),
+    ("quality rules", good_documents),
+    ("n-gram Jaccard join", one_of_near_copies),
+    ("suffix-array dedup", without_repeated_passages),
+    ("PII", masked_identifiers),
+    ("packing", length_batches),
 ]
 
 #: Stages hash and score outside what SQL can express; tests hold them against brute force.
