@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tests.llm import fixtures as fx
-from tomewright.llm import bpe, common, jaccard, licenses, pii, suffixes
+from tomewright.llm import bpe, common, jaccard, licenses, pii, shingles, suffixes
 from tomewright.llm.buckets import batches, best_bounds
 from tomewright.llm.common import Shared, components
 from tomewright.llm.jaccard import jaccard_groups, without_near_copies
@@ -338,6 +338,44 @@ def test_jaccard_joins_through_null_ids(spark):
     assert {(r.doc_id, r.component_id) for r in jaccard_groups(df.where("doc_id > 0"), 3, 93).collect()} == {(1, 1), (2, 2)}
 
 
+def test_jaccard_of_regular_texts(spark):
+    """One-word texts whose differences cancel in sums of powers modulo 2**64."""
+    rows = []
+    for k in (8, 9, 10, 12, 14):
+        word = [bin(i).count("1") % 2 for i in range(1 << k)]
+        rows += [(2 * k, "".join("ab"[x] for x in word)), (2 * k + 1, "".join("ba"[x] for x in word))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard_groups(df, 3, 90).collect()} == {(i, i) for i, _ in rows}
+    assert without_near_copies(df).count() == len(rows)
+
+
+@given(st.lists(st.binary(min_size=1, max_size=40), min_size=1, max_size=30))
+@settings(max_examples=50, deadline=None)
+def test_word_hashes_follow_the_bytes_alone(words):
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    got = shingles.word_hashes(data, ends - [len(w) for w in words], ends).tolist()
+    assert len(set(zip(words, got, strict=True))) == len(set(words)) == len(set(got))
+
+
+def test_results_are_apart_and_tables_go(spark, docs):
+    """A second call leaves the first one's result readable, and a stage leaves
+    only the table that its result reads."""
+    def tables():
+        base = spark.conf.get("spark.checkpoint.dir") + "/tables"
+        return set(os.listdir(base)) if os.path.isdir(base) else set()
+
+    common.shared_folder(spark)
+    first = without_near_copies(docs)
+    before = tables()
+    second = without_near_copies(docs.where("doc_id > 5"))
+    assert len(tables() - before) == 1
+    assert first.count() > second.count() > 0 and first.count() > 0
+    before = tables()
+    cut = without_repeats(docs)
+    assert len(tables() - before) == 1 and cut.count() > 0
+
+
 def test_jaccard_names_apart(spark):
     """Sets whose 64-bit names are equal and their 128-bit names are not."""
     rows = [(1, 5, 7, 1), (2, 5, 8, 2), (3, 6, 9, 3)]
@@ -498,8 +536,16 @@ def test_shards(docs, odd, empty, tmp_path):
     for k in range(5):
         assert [r.slot for r in rows if r.shard == k] == list(range(sum(r.shard == k for r in rows)))
     assert shard_by_bytes(odd, 3).count() == 7 and shard_by_bytes(empty).count() == 0
-    write_shards(docs.where("text is not null"), str(tmp_path / "out"), 3)
-    assert docs.sparkSession.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 3
+    write_shards(docs, str(tmp_path / "out"), 3)
+    written = docs.sparkSession.read.parquet(str(tmp_path / "out"))
+    assert written.groupBy("shard").count().count() == 3
+    plan = {(r.doc_id, r.shard) for r in shard_by_bytes(docs, 3).collect()}
+    assert {(r.doc_id, r.shard) for r in written.select("doc_id", "shard").collect()} == plan
+    write_shards(odd, str(tmp_path / "odd"), 2, shard_col="piece")
+    again = docs.sparkSession.read.parquet(str(tmp_path / "odd")).drop("piece")
+    assert again.count() == 7 and again.exceptAll(odd).count() == odd.exceptAll(again).count() == 0
+    with pytest.raises(ValueError, match="already"):
+        write_shards(odd, str(tmp_path / "no"), 2, shard_col="part")
 
 
 # op9

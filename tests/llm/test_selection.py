@@ -167,7 +167,7 @@ def test_audit(spark, labels):
 
 def test_audit_of_a_hot_text(spark, labels, monkeypatch):
     """One text and one id in most rows, looked up by broadcast."""
-    monkeypatch.setattr("tomewright.llm.common.HUB", 2)
+    monkeypatch.setattr("tomewright.operators.shared.OFTEN", 2)
     rows = [(i % 7 if i % 2 else i, "same text " * 30 if i % 3 else f"text {i}", "p") for i in range(90)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
     got = {tuple(r) for r in audit.audit_filters(df, labels).collect()}

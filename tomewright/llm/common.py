@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-from functools import wraps
-from typing import ClassVar
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomewright.operators.shared import looked_up, partitions, shared_folder
+
+__all__ = ["SPACE", "Shared", "components", "delete", "id_and_text", "looked_up", "may_be_in", "partitions", "shared_folder", "table", "text_key"]
+
 #: White space that ends a word: space and the controls from tab to return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -29,90 +29,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under ``spark.checkpoint.dir``.
-
-    Only where that setting is absent and Spark runs on this machine alone, as in
-    tests, a local folder is made and kept in the session for later calls.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tomewright-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/tables/{uuid.uuid4().hex}"
+#: Where it is set, the shuffle files of a write go when the write has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Shared:
-    """Intermediate tables in the shared folder, which cut lineage for good.
+    """The intermediate tables of one call of an operator, in the shared folder;
+    they cut lineage for good.
 
-    ``keep(df)`` writes and rereads; ``drop(df)`` deletes a table that no later
-    step reads, so that the disk holds only what is still needed.
+    ``keep(df)`` writes and rereads; what the write shuffled is let go. ``drop(df)``
+    deletes a table that no later step reads, ``only(df, ..)`` all but those that
+    the result still reads, so that the disk holds only what is needed. Each
+    object deletes its own tables and no others.
     """
 
-    #: All tables that this session has made and not dropped.
-    made: ClassVar[list[str]] = []
-
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = shared_folder(self.spark)
-        df.write.option("compression", "zstd").parquet(path)
+        path, was = shared_folder(self.spark), self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if was is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
-        self.made.append(path)
         return out
 
-    def free(self) -> None:
-        """Let go of the shuffle files behind tables that are written. Spark deletes
-        them once the plan that made them is collected as garbage on the driver;
-        without this call that is when the driver's heap happens to fill, and till
-        then every shuffle of an operator lies on the executors' disks at once."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             path, _ = self.paths.pop(id(df), (None, None))
             if path:
-                self.made.remove(path)
                 delete(self.spark, path)
 
+    def only(self, *frames: DataFrame) -> None:
+        kept = {id(df) for df in frames}
+        self.drop(*[df for _, df in list(self.paths.values()) if id(df) not in kept])
+
 
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def staged(stage: Stage) -> Stage:
-    """A stage of a pipeline, whose result is written before the next one begins:
-    then the tables of the stages before are deleted, unless ``docs`` reads them."""
-
-    @wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        files = docs.inputFiles() if _staged else []
-        for path in [p for p in _staged if not any(p in f for f in files)]:
-            _staged.remove(path)
-            if path in Shared.made:
-                Shared.made.remove(path)
-                delete(spark, path)
-        before = set(Shared.made)
-        out = stage(spark, docs, sf_dir)
-        _staged.extend(p for p in Shared.made if p not in before)
-        return out
-
-    return run
-
-
-#: Tables of the stages called last.
-_staged: list[str] = []
-
-
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that count, under fixed names, so that no extra
     column of the input can clash with a name used inside."""
@@ -139,25 +102,6 @@ def may_be_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column)
     return tuple(both.where(x).drop(at, held) for x in (there, ~there))
 
 
-def looked_up(df: DataFrame, key: str, lookup: DataFrame, rows: int, parts: int = 1000) -> DataFrame:
-    """``df``, of about ``rows`` rows, left-joined with ``lookup``, which has a row for
-    each of some values of ``key``. Values with more than one in ``parts`` of the rows,
-    of which there can be no more than ``parts``, are broadcast, so no task gathers
-    them; null keys match nothing and are not moved. ``df`` is read three times."""
-    new = [c for c in lookup.columns if c != key]
-    nothing = {c: F.lit(None).cast(lookup.schema[c].dataType) for c in new}
-    some = df.where(F.col(key).isNotNull())
-    often = some.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HUB, rows // parts)).select(key)
-    often = F.broadcast(often.join(lookup, key, "left"))
-    rest = some.join(often.select(key), key, "left_anti").join(lookup, key, "left")
-    out = some.join(often, key).unionByName(rest).unionByName(df.where(F.col(key).isNull()).withColumns(nothing))
-    return out.select(*df.columns, *new)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _contracted(most: int):
     """For each node of the edges of one partition the smallest node it reaches
     over them. At ``most`` nodes what is there goes out, so memory is bounded;
@@ -264,4 +208,6 @@ def components(edges: DataFrame, shared: Shared, max_rounds: int = 80) -> DataFr
     else:
         raise RuntimeError("components did not settle")
     ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component"))))
-    return now.select(ends.alias("e")).select("e.*").distinct()
+    out = shared.keep(now.select(ends.alias("e")).select("e.*").distinct())
+    shared.drop(now)
+    return out

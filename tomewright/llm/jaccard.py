@@ -157,10 +157,13 @@ def _views(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of equal keys, from rows sorted by them."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], some: int) -> Iterator[pa.Table]:
+    """Tables of equal keys, from rows sorted by them and, within, residents before
+    visitors. Where the visitors of a tile are more than ``some`` bytes, the tile
+    comes several times, with other visitors each time: what a task holds is
+    bounded by the residents, of which a cell has at most about CELL elements."""
     held: list[pa.RecordBatch] = []
-    last = None
+    stay, guests, last = 0, 0, None  # batches of residents; bytes of visitors
     for b in batches:
         if not b.num_rows:
             continue
@@ -168,11 +171,24 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
         for i, j in zip(cuts, cuts[1:], strict=False):
             key = tuple(k[:, i].tolist())
-            if key != last and held:
-                yield pa.Table.from_batches(held)
-                held = []
+            if key != last:
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, stay, guests = [], 0, 0
             last = key
-            held.append(b.slice(i, j - i))
+            piece = b.slice(i, j - i)
+            visit = piece.column(b.schema.get_field_index("visit")).to_numpy(zero_copy_only=False)
+            first = int(np.argmax(visit)) if visit.any() else len(visit)
+            if first:
+                held.append(piece.slice(0, first))
+                stay += 1
+            for at in range(first, len(visit), 256):
+                guest = piece.slice(at, 256)
+                if guests and guests + guest.nbytes > some:
+                    yield pa.Table.from_batches(held)
+                    held, guests = held[:stay], 0
+                held.append(guest)
+                guests += guest.nbytes
     if held:
         yield pa.Table.from_batches(held)
 
@@ -212,11 +228,11 @@ def _distinct(group: pa.Table) -> pa.Table:
 KEYS = ["home", "band", "salt"]
 
 
-def _flagged(percent: int, later: bool):
+def _flagged(percent: int, later: bool, some: int):
     """The rows of each tile that may link with another row of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, KEYS):
+        for group in _groups(batches, KEYS, some):
             group = _distinct(group)
             n, comp, visit = (group[c].to_numpy() for c in ("n", "comp", "visit"))
             flag = np.zeros(len(n), bool)
@@ -250,7 +266,7 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
 
 
-def _linked(percent: int, later: bool):
+def _linked(percent: int, later: bool, some: int):
     """A spanning forest of the links of each tile: pairs in the order of their
     differing bits, each compared exactly unless the two are joined already."""
 
@@ -277,7 +293,7 @@ def _linked(percent: int, later: bool):
             x, y = x[500:][apart], y[500:][apart]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, KEYS):
+        for group in _groups(batches, KEYS, some):
             if found := list(links(_distinct(group))):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["u", "v"])
 
@@ -288,8 +304,8 @@ def _joined_tiles(rows: DataFrame, light: DataFrame, texts: DataFrame, words: in
     """The links (u, v) of tiles of rows (home, band, salt, sid, n, comp, visit)."""
     spark = rows.sparkSession
     tiles = rows.join(light.select("sid", "bits"), "sid").select(*KEYS, "sid", "n", "comp", "visit", "bits")
-    tiles = tiles.repartition(*KEYS).sortWithinPartitions(*KEYS)
-    flags = tiles.mapInArrow(_flagged(percent, later), "home long, band int, salt int, sid long, comp long, visit boolean")
+    tiles = tiles.repartition(*KEYS).sortWithinPartitions(*KEYS, "visit")
+    flags = tiles.mapInArrow(_flagged(percent, later, 8 * CELL), "home long, band int, salt int, sid long, comp long, visit boolean")
     tile = F.struct(*KEYS, "comp", "visit")
     wanted = flags.groupBy("sid").agg(F.collect_set(tile).alias("tiles")).join(light, "sid")
     # written, so that its true size decides how the texts are joined
@@ -299,8 +315,8 @@ def _joined_tiles(rows: DataFrame, light: DataFrame, texts: DataFrame, words: in
     kind = "array<struct<home: bigint, band: int, salt: int, comp: bigint, visit: boolean>>"
     built = found.select("text", "check", "sid", "tiles").mapInArrow(_built(words), f"sid long, elements binary, tiles {kind}")
     full = built.select(F.explode("tiles").alias("t"), "sid", "elements").select("t.*", "sid", "elements")
-    full = full.repartition(partitions(spark), *KEYS).sortWithinPartitions(*KEYS)
-    links = shared.keep(full.mapInArrow(_linked(percent, later), "u long, v long"))
+    full = full.repartition(partitions(spark), *KEYS).sortWithinPartitions(*KEYS, "visit")
+    links = shared.keep(full.mapInArrow(_linked(percent, later, 8 * CELL), "u long, v long"))
     shared.drop(wanted)
     return links
 
@@ -358,11 +374,10 @@ def _named_apart(signed: DataFrame) -> DataFrame:
     return signed.join(twice, "sid", "left").withColumn("sid", other).select(*signed.columns)
 
 
-def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, shared: Shared) -> DataFrame:
     """(doc_id, text_hash, n, component_id, component_hash) for every row of ``docs``;
     the last two are of the first row of the component."""
     spark = docs.sparkSession
-    shared = Shared(spark)
     texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     counts = texts.mapInArrow(_counted(words), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
     weight = np.zeros(COUNTERS, np.int64)
@@ -382,7 +397,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     ids = shared.keep(signed.select("doc_id", "text_hash", "n", "sid"))
     shared.drop(signed)
     settled = components(_links(seats, light, texts, words, percent, shared), shared)
-    shared.drop(seats, light)
+    shared.only(ids, settled)
     reps = ids.where("sid is not null").groupBy("sid").agg(place.alias("at"))
     both = reps.join(settled.withColumnRenamed("node", "sid"), "sid")
     least = both.groupBy("component").agg(F.min("at").alias("least"))
@@ -409,7 +424,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     64-bit hashes, sets by 128-bit names. A text is read whole, and its set must
     fit a task.
     """
-    out = _grouped(docs, words, percent, id_col, text_col)
+    out = _grouped(docs, words, percent, id_col, text_col, Shared(docs.sparkSession))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
@@ -418,10 +433,12 @@ def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_c
     several texts with that id the one of smallest hash. Rows with a null id and
     texts without words stay; rows equal in id and text are one document and
     stay or go together."""
-    groups = _grouped(docs, words, percent, id_col, text_col)
+    shared = Shared(docs.sparkSession)
+    groups = _grouped(docs, words, percent, id_col, text_col, shared)
     gone = groups.where("doc_id is not null and n > 0 and not (doc_id <=> component_id and text_hash = component_hash)")
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    gone = Shared(docs.sparkSession).keep(gone)
+    gone = shared.keep(gone)
+    shared.only(gone)
     doc_id, text_hash = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
     some, rest = may_be_in(docs, text_key(doc_id, text_hash), gone, text_key("_id", "_hash"))
     return rest.unionByName(some.join(gone, (doc_id == F.col("_id")) & (text_hash == F.col("_hash")), "left_anti"))

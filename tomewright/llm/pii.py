@@ -268,7 +268,7 @@ def masked(docs: DataFrame, rounds: int = 3, least: float = 0.8, id_col: str = "
     table = shared.keep(find(docs, id_col, text_col).select("text_hash", "found"))
     new = _discovered(table, shared, rounds, least, ["text_hash"])
     new = shared.keep(new.groupBy(F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("start", "end", "kind")).alias("_new")))
-    shared.drop(table)
+    shared.only(new)
     place = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -347,7 +347,7 @@ def _found(pieces: DataFrame, hot: DataFrame, length: int, shared: Shared) -> Da
         part = F.pmod(F.xxhash64("name", "start"), "parts").alias("part")
         rows = pieces.join(F.broadcast(hot), "key", "left").select(*cols, part).repartition("key", "part").sortWithinPartitions(*cols)
         out = shared.keep(rows.mapInArrow(_scan(length, BUCKET, outer), found))
-        shared.free()
+        shared.drop(pieces)
         each = out.where("piece is null").select("name", "from", "to")
         spans = each if spans is None else spans.unionByName(each)
         left = out.where("piece is not null").withColumnRenamed("from", "start").select(*cols)
@@ -355,10 +355,12 @@ def _found(pieces: DataFrame, hot: DataFrame, length: int, shared: Shared) -> Da
         if not n:
             return spans
         wide = shared.keep(_crowded(left.join(F.broadcast(hot.select("key")), "key", "left_semi"), n).select("key"))
+        shared.drop(hot)
         pieces = left
         if not wide.isEmpty():
             dealt = left.join(F.broadcast(wide), "key", "left_semi").select(*cols).mapInArrow(_dealt(length, outer), left.schema)
             pieces = shared.keep(left.join(F.broadcast(wide), "key", "left_anti").select(*cols).unionByName(dealt))
+            shared.drop(wide)
         hot = shared.keep(_crowded(pieces, n))
         outer = length
 
@@ -371,14 +373,12 @@ def _spans(texts: DataFrame, facts: DataFrame, length: int, shared: Shared) -> t
     order = ["key", "name", "start"]
     dealt = cuts.repartitionByRange(partitions(texts.sparkSession), *order).sortWithinPartitions(*order)
     hits = shared.keep(dealt.mapInArrow(_shared, schema))
-    shared.free()
     lists = hits.groupBy("name").agg(F.collect_set(F.when(~F.col("again"), F.struct("key", "start", "n"))).alias("found"))
     own = shared.keep(hits.where("again").select("name", F.col("start").alias("from"), (F.col("start") + F.col("n")).alias("to")))
     first = facts.groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     held = shared.keep(texts.join(lists.join(first, "name"), ["name", "doc_id"]).select("doc_id", "text", "found", "name"))
     counted = shared.keep(_crowded(hits.where("not again"), hits.count()))
     shared.drop(hits)
-    shared.free()
     pieces = held.mapInArrow(_pieces(length), "doc_id long, key long, start int, piece binary, name long")
     spans = _found(pieces, counted, length, shared)
     lists = spans.unionByName(own).groupBy("name").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
@@ -401,6 +401,7 @@ def _searched(all_texts: DataFrame, length: int, shared: Shared) -> tuple[DataFr
     facts = shared.keep(fact(texts))
     if twice := _apart(facts):
         texts = texts.withColumn("name", F.when(F.col("name").isin(twice), F.xxhash64(sha)).otherwise(F.col("name")))
+        shared.drop(facts)
         facts = shared.keep(fact(texts))
     held, lists = _spans(texts, facts, length, shared)
     repeated = not facts.groupBy("doc_id", "name").count().where("count > 1").isEmpty()
@@ -480,7 +481,7 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     lost = facts.join(lists, "name", "left").where("copy or spans is not null")
     lost = lost.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("copy").alias("_copy"), F.col("spans").alias("_spans"))
     lost = shared.keep(lost.dropDuplicates(["_id", "_hash"]) if repeated else lost)
-    shared.free()
+    shared.only(lost)
     place = docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
