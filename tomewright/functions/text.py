@@ -211,12 +211,14 @@ def tags_as_html(text: Column) -> Column:
     return F.struct((~rest.rlike("</?[A-Za-z][^<>]*>")).alias("ok"), html.alias("html"))
 
 
-def find_window(text: Column, options: list[tuple[str, str, str]]) -> Column:
+def find_window(text: Column, options: list[tuple[str, str, str]], hidden: str = "") -> Column:
     """(at, width) of the first place where an option (before, pattern, after)
     fits, without what stands before and after; null without one. ``#`` is no
     letter or digit, ``.`` anything, a space white space; other characters stand
-    for themselves in any case. At one place the first option counts."""
-    special = {"#": r"[^\p{L}\p{N}]", ".": "(?s:.)", " ": r"\s"}
+    for themselves in any case. At one place the first option counts. The character
+    ``hidden`` fits nothing: with ``levels.base_level`` windows are found at the
+    base level only."""
+    special = {"#": rf"[^\p{{L}}\p{{N}}{hidden}]", ".": f"[^{hidden}]" if hidden else "(?s:.)", " ": r"\s"}
     places = []
     for i, option in enumerate(options):
         fits = "(?iu)" + "".join(special.get(c) or re.escape(c) for c in "".join(option))

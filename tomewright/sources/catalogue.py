@@ -82,7 +82,7 @@ def search_hits(raw: DataFrame, book: str) -> DataFrame:
 def hit_record(components: Column, page: Column) -> tuple[Column, Column]:
     """Components joined by commas, and the page number at the end of a reference."""
     n = F.regexp_extract(page, r"pg\.\s*([0-9]+)\s*$", 1)
-    return F.array_join(F.coalesce(components, F.array().cast("array<string>")), ", "), F.when(n != "", n).cast("int")
+    return F.array_join(F.coalesce(components, F.array().cast("array<string>")), ", "), F.when(n != "", n).try_cast("int")
 
 
 def default_sources(index: list[str], asked: list[str] | None, most: int = 3) -> list[str]:
