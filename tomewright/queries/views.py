@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tomewright.functions.parsing import component_cost, label_arcanum
 from tomewright.functions.text import after_rule, find_window, split_by, tags_as_html
 from tomewright.operators import views
+from tomewright.operators.rangeview import RangeView
 from tomewright.operators.shared import shared_folder
 from tomewright.queries import query, table
 from tomewright.queries.searching import PARTS, TEXTS, parts
@@ -38,6 +39,27 @@ def view_insert(spark, sf_dir):
     return views.inserted(view, rows.where("p_partkey % 2 = 1"), "red", PARTS, "-level", _TIES).select("p_partkey", "place")
 
 
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_name, p_partkey) AS place FROM part WHERE p_partkey % 3 <> 0 OR p_size = 7")
+def view_delta(spark, sf_dir):
+    """A view stored in ranges: two thirds of the rows, then the rest of one level
+    comes in, which touches the ranges of that level only."""
+    rows = table(spark, sf_dir, "part").select("p_size", "p_name", "p_partkey")
+    view = RangeView(spark, shared_folder(spark), ["p_size", "p_name", "p_partkey"])
+    view.build(rows.where("p_partkey % 3 <> 0"), rows_per_range=500)
+    view.insert(rows.where("p_partkey % 3 = 0 and p_size = 7"))
+    return view.read().select("p_partkey", "place")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY -p_size, p_partkey) AS place FROM part WHERE NOT p_size BETWEEN 10 AND 12")
+def view_delta_delete(spark, sf_dir):
+    """Rows of three levels go from a stored view in descending order."""
+    rows = table(spark, sf_dir, "part").select((-F.col("p_size")).alias("down"), "p_partkey")
+    view = RangeView(spark, shared_folder(spark), ["down", "p_partkey"])
+    view.build(rows, rows_per_range=500)
+    view.delete(F.col("down").between(-12, -10))
+    return view.read().select("p_partkey", "place")
+
+
 @query(f"SELECT p_partkey FROM part WHERE {_RED} AND NOT p_size > 20")
 def view_delete(spark, sf_dir):
     view = views.shown(parts(spark, sf_dir), "red", PARTS, None, _TIES)
