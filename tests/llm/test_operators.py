@@ -559,6 +559,9 @@ def test_licenses(spark, odd, empty):
     assert rows[2].labels == "apache,gpl,mit" and rows[2].score == 0.75 and rows[2].n_base == 0
     assert rows[3].labels == "gpl,lgpl" and rows[3].n_base == 1 and rows[3].first_word == 2
     assert rows[4].labels == "" and rows[5].labels == ""
+    tags = ["SPDX License Identifier: MIT", "SPDX-License-Identifier : MIT", "é spdx-license-identifier\tApache-2.0\nGPL-2.0", "SPDX-License-\nIdentifier: (0BSD)", "x" * 2_000_000 + " SPDX-License-Identifier: MIT", "spdx license identifier"]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(tags)), "doc_id long, text string")).collect()}
+    assert got == {0: "mit", 1: "mit", 2: "apache", 3: "bsd", 4: "mit", 5: ""}
     assert licenses.scan_licenses(odd).count() == 7 and licenses.scan_licenses(empty).count() == 0
 
 

@@ -46,7 +46,8 @@ FAMILIES = {
 }
 
 _TAG = "spdx license identifier"
-_TAG_END = re.compile(r"(?i)spdx-license-identifier:")
+_WORD = re.compile(rb"[^ ]+")
+_COLON = re.compile(r"[ \t]*:?")
 _SYMBOL = re.compile(r"[ \t]*([()]|[A-Za-z0-9.+-]+)")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -123,9 +124,11 @@ class Scanner:
 
     def scan(self, text: str) -> tuple:
         """n_words, n_base, first_word, last_word, base_labels, labels, score."""
-        words = text.encode("utf-8", "replace").translate(_FOLD).split()
+        raw = text.encode("utf-8", "replace")
+        folded = raw.translate(_FOLD)
+        words = folded.split()
         flat = f" {b' '.join(words).decode()} "
-        base, more, starts, tagged = set(), set(), [], False
+        base, more, starts, tags = set(), set(), [], []
         for end, phrase in self.found.iter(flat):
             if phrase in BASE:
                 base.add(BASE[phrase])
@@ -133,11 +136,13 @@ class Scanner:
             elif phrase in NOTICES:
                 more.add(NOTICES[phrase])
             else:
-                tagged = True
+                tags.append(flat.count(" ", 0, end))  # so many words end here
         score = min((FREEDOM[x] for x in base | more), default=None)
-        if tagged:
-            for m in _TAG_END.finditer(text):
-                if symbols := postfix(text, m.end()):
+        if tags:
+            ends = [m.end() for m in _WORD.finditer(folded)]
+            for k in tags:
+                line = raw[ends[k - 1] : raw.find(b"\n", ends[k - 1]) + 1 or None].decode("utf-8", "ignore")
+                if symbols := postfix(line, _COLON.match(line).end()):
                     free, labels = evaluate(symbols)
                     more |= labels
                     score = free if score is None else min(score, free)
@@ -152,8 +157,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
     ``score`` is how freely the text may be used: 1 without any notice, else the
-    least over all notices and tag expressions found. A null text is empty: no
-    words, empty labels, null places. Rows are independent: no shuffle.
+    least over all notices and tag expressions found. The automaton finds the tags,
+    as words, so hyphens, spaces and case don't matter; the expression is what
+    follows on the line, after a colon or not. A null text is empty: no words, empty
+    labels, null places. Phrases at one place all count. Rows are independent and
+    may repeat: no shuffle; a task holds some ten times the text at hand.
     """
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
