@@ -103,3 +103,16 @@ def variants(rows: DataFrame, names: str, contexts: str, prices: str) -> DataFra
     even = (F.size(names) == F.size(contexts)) & (F.size(names) == F.size(prices))
     zipped = rows.where(even).select("*", F.posexplode(F.arrays_zip(F.col(names).alias("n"), F.col(contexts).alias("c"), F.col(prices).alias("p"))).alias("place", "z"))
     return zipped.select(*[c for c in rows.columns if c not in (names, contexts, prices)], "place", F.col("z.n").alias("name"), F.col("z.c").alias("context"), F.col("z.p").alias("price"))
+
+
+def defined_once(rows: DataFrame, name: str, what: str, fold_case: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows whose name is defined once or first, rejects with reason) of definitions
+    with an order column ``at``: of a name given again the first definition stands
+    and the later ones are refused. Names of materials ignore case, those of units
+    don't. Counts are made before the shuffle; only names given twice are looked up."""
+    key = F.lower(name) if fold_case else F.col(name)
+    first = rows.groupBy(key.alias("_key")).agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    met = rows.withColumn("_key", key).join(first, "_key", "left").drop("_key")
+    later = F.coalesce(F.col("at") > F.col("_first"), F.lit(False))
+    reason = F.concat(F.lit(f"{what} '"), F.col(name), F.lit("' already exists"))
+    return met.where(~later).drop("_first"), met.where(later).drop("_first").withColumn("reason", reason)

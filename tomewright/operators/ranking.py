@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomewright.functions.quantity import sort_columns
-from tomewright.operators.shared import written
+from tomewright.operators.shared import looked_up, written
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -28,9 +28,11 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
 
 
 def ranked_by_value(df: DataFrame, value: Column, text: str, key: str, name: str = "rank") -> DataFrame:
-    """(``key``, place): valid values first by size, then the rest by text. The
-    value is computed once; only it, the text and the key are shuffled."""
-    rows = written(df.select(key, text, value.alias("_read")))
+    """(``key``, place): valid values first by size, then the rest by text. ``value``
+    follows from ``text`` alone and is computed once for each distinct text; only
+    it, the text and the key are shuffled."""
+    known = written(df.select(text).where(F.col(text).isNotNull()).distinct().withColumn("_read", value))
+    rows = written(looked_up(df.select(key, text), text, known, known.count()))
     keys = sort_columns("_read", text)
     order = [F.col(k).asc_nulls_last() for k in keys]
     return ranked(rows.select(key, *[c.alias(k) for k, c in keys.items()]), [*order, F.col(key)], name).select(key, name)

@@ -23,6 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> dict[str, tuple[Query, str | None]]:
-    from tomewright.queries import catalogue, costs, documents, lists, ordering, parsing, searching, sequences, views  # noqa: F401
+    from tomewright.queries import carding, catalogue, costs, documents, lists, ordering, parsing, searching, sequences, views  # noqa: F401
 
     return REGISTERED
