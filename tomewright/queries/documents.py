@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tomewright.functions.levels import split_at_base
 from tomewright.operators.pages import entry_pages
 from tomewright.operators.tables import material_rows, materials_of, read_rows, table_rows
+from tomewright.operators.shared import shared_folder
 from tomewright.queries import query, table
 from tomewright.queries.costs import units
+from tomewright.sources.texts import entries, learned, read_sources, sources_of, with_macros
 
 
 def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,3 +97,25 @@ def wiki_entries(spark, sf_dir):
  FROM part WHERE p_partkey % 23 IN (4, 5, 6, 7)""")
 def wiki_rejects(spark, sf_dir):
     return entry_pages(wiki_pages(spark, sf_dir))[1]
+
+
+@query("SELECT doc_id, source AS book, 'in ' || lang || ' of the' || source || CASE WHEN doc_id % 4 = 0 THEN ' {x}' ELSE '' END AS body FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 7 <> 0")
+def text_sources(spark, sf_dir):
+    """Files of entries by book, half of them listed in a manifest, with macros that use
+    each other and take the blanks after them; entries without a body are rejects, marked ones are none."""
+    docs, path = table(spark, sf_dir, "documents"), shared_folder(spark)
+    k = F.col("doc_id")
+    line = F.concat(
+        F.lit("\\entry{"), k.cast("string"), F.lit("}"),
+        F.when(k % 7 == 0, "").otherwise(F.concat(F.lit(" \\inlang "), "lang", F.lit(" \\sep "), "source", F.when(k % 4 == 0, " {x}").otherwise(""), F.when(k % 9 == 0, " \\notanentry").otherwise(""))),
+    )
+    name = F.concat("source", F.lit("-"), (k % 2).cast("string"))
+    docs.select(line.alias("value"), name.alias("file")).repartition("file").write.partitionBy("file").text(f"{path}/texts")
+    macros = spark.createDataFrame([(r"% macros \newcommand{\sep}{of \art }" + "\n" + r"\newcommand\art{a}\renewcommand{\art}{the}  \newcommand{\inlang}{in }",)], "value string")
+    macros.coalesce(1).write.text(f"{path}/macros")
+    listed = docs.select(F.col("source").alias("book"), F.concat(F.lit(f"{path}/texts/file="), name).alias("file")).distinct()
+    manifest = listed.groupBy("book").agg(F.collect_list("file").alias("files"))
+    files = manifest.where("size(files) > 1").select("book", F.slice("files", 1, 1).alias("files")).unionByName(spark.createDataFrame([("macros", [f"{path}/macros"])], "book string, files array<string>"))
+    documents, macro_files = read_sources(spark, sources_of(files, manifest))
+    good, _ = entries(with_macros(documents, learned(macro_files)), "entry", silent="notanentry")
+    return good.select(F.col("name").cast("long").alias("doc_id"), "book", "body")
