@@ -177,7 +177,9 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: bool
 
     ``vocabulary``: path of a file of base64 tokens and ranks, read on the driver
     and broadcast (its size is the vocabulary's, not the data's). A null or empty
-    text has no tokens. Rows are independent: no shuffle, any number of copies.
+    text has no tokens, a null id stays null. Rows are independent: no shuffle, any
+    number of copies, and no ties. A text of any length is encoded whole, match by
+    match; its ids must fit a task. An empty table gives no rows.
     ``ids``: little-endian unsigned 32-bit integers.
     """
     with open(vocabulary, "rb") as f:

@@ -64,7 +64,8 @@ def batches(
     optimal ones for the global histogram; inside a bucket, in the order of ids,
     documents fill batches of at most ``budget`` padded tokens, one at least.
     ``batch`` counts from 0 in its bucket, ``slot`` in its batch. Only id and
-    length are shuffled; equal rows fill places of their own. The histogram has a
+    length are shuffled, null ids first; equal rows fill places of their own, and a
+    document longer than ``budget`` is a batch by itself. The histogram has a
     row for each length there is. It comes to the driver, which is safe at any
     size: m different lengths need m * (m - 1) / 2 words, so texts of w words in
     all have at most sqrt(2 * w) + 1 lengths.

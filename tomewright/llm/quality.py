@@ -109,7 +109,9 @@ def quality(
     without words). ``kept`` is false if the base rules fail, else whether the
     score reaches ``threshold``. A null text has no words, so it fails. The
     trusted multinomial is fitted on at most ``most_trusted`` labelled documents,
-    the raw one and all else on every document. Equal rows get equal results.
+    the raw one and all else on every document. Equal rows get equal results, and so
+    do equal texts of different or null ids. A text of any length counts whole: its
+    words and their hashes must fit a task. An empty table gives no rows.
     ``whole_rows`` adds the row of ``docs`` itself as the struct ``row``, so that
     a filter needs no join.
     """

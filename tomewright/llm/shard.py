@@ -36,7 +36,9 @@ def shard_by_bytes(
     document of its share. ``size`` is the text's UTF-8 bytes plus ``overhead``;
     a null text has none. ``slot`` counts from 0 in each shard in the same order.
     Rows with equal ids stand next to each other, ordered by checksum and size.
-    An empty table gives no rows. Only id, size and checksum are shuffled.
+    An empty table gives no rows. Only id, size and checksum are shuffled, so a very
+    long text is only measured; one that is longer than a shard's share leaves
+    the next shards emptier, or empty.
     """
     sized = docs.select(*_measured(overhead, id_col, text_col))
     placed = _placed(positions(sized, ORDER, "size", Shared(docs.sparkSession)), n_shards)
