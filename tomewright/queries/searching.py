@@ -289,7 +289,7 @@ def stream_search(spark, sf_dir):
     return drained(out, shared_folder(spark), shared_folder(spark))
 
 
-@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n_events FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n_events FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def stream_windowed_counts(spark, sf_dir):
     """All hourly windows of the event stream, the last ones too."""
     from tomewright.operators.shared import shared_folder
@@ -298,4 +298,4 @@ def stream_windowed_counts(spark, sf_dir):
     table(spark, sf_dir, "events").write.parquet(source)
     events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
     counts = windowed_counts(events, "ts", "event_type").select(F.col("window.start").alias("start"), "event_type", "n_events")
-    return drained(counts, shared_folder(spark), shared_folder(spark), mode="complete").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+    return drained(counts, shared_folder(spark), shared_folder(spark), mode="complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
