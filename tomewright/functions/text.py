@@ -201,7 +201,7 @@ PLAIN_TAGS = ["br", "ol", "ul", "li", "tr", "td", "table"]
 def tags_as_html(text: Column) -> Column:
     """Titles, action costs, rows and documents as plain tags. ``ok`` is false
     where a tag is left that has no meaning, or one has other attributes than its own."""
-    into = [
+    into = [  # fixed values: what each tag becomes
         (r'<title\s+level="[^"]*"\s*>', "<h4>"), ("</title>", "</h4>"), (r'<actions\s+string="([^"]*)"\s*/>', '<img src="/img/$1.png" />'),
         (r"<row(\s[^<>]*)?>", "<br/>"), ("</row>", ""), (r"<document(\s[^<>]*)?>", ""),
     ]

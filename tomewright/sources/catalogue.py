@@ -79,9 +79,13 @@ def search_hits(raw: DataFrame, book: str) -> DataFrame:
     return raw.where((F.lower("primary_source") == book.lower()) & F.col("legacy_id").isNull() & F.col("remaster_id").isNull())
 
 
+#: Fixed value: where a reference names its page.
+PAGE = r"pg\.\s*([0-9]+)\s*$"
+
+
 def hit_record(components: Column, page: Column) -> tuple[Column, Column]:
     """Components joined by commas, and the page number at the end of a reference."""
-    n = F.regexp_extract(page, r"pg\.\s*([0-9]+)\s*$", 1)
+    n = F.regexp_extract(page, PAGE, 1)
     return F.array_join(F.coalesce(components, F.array().cast("array<string>")), ", "), F.when(n != "", n).try_cast("int")
 
 

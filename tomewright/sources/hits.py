@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe,
 
 from tomewright.functions.text import after_rule
 from tomewright.operators.rejects import routed
+from tomewright.sources.catalogue import PAGE
 
 #: Fields of a record as they are stored, and their kinds.
 FIELDS = {
@@ -157,7 +158,8 @@ def short_answers(hits: DataFrame) -> DataFrame:
 
 
 def page_number(reference: Column) -> Column:
-    return F.regexp_extract(reference, r"pg.\s*([0-9]+)\s*$", 1).try_cast("int")
+    """The number at the end of a reference."""
+    return F.regexp_extract(reference, PAGE, 1).try_cast("int")
 
 
 def hit_rows(hits: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
