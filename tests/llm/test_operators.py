@@ -155,6 +155,25 @@ def test_packing_is_lossless(docs):
     assert len({r.pack_id for r in rows}) == len(rows)
 
 
+def test_packing_goes_by_windows_of_all_tokens(docs):
+    """Rows are those of the documents in order, cut each 2,000 tokens, however the input is split."""
+    made = []
+    for df in (docs.coalesce(1), docs.repartition(7), docs.unionByName(docs).repartition(3)):
+        rows = pack_tokens(df, VOCABULARY, public_tokenizers.PATTERN, row_tokens=64, window=2000).collect()
+        made.append(sorted((r.pack_id, r.doc_ids, r.parts, r.cu_seqlens, r.ids) for r in rows))
+    assert made[0] == made[1] and len({r[0] for r in made[2]}) == len(made[2])
+    for copies, got in ((1, made[0]), (2, made[2])):
+        windows, before = {}, 0
+        for i, text in sorted(PAIRS, key=lambda r: r[0]):
+            n = len(REAL.encode_ordinary(text or ""))
+            for _ in range(copies if n else 0):
+                windows.setdefault(before // 2000, []).extend((i, p, min(64, n - k)) for p, k in enumerate(range(0, n, 64)))
+                before += n
+        assert len(windows) > 1
+        real = {(w << 32) + k: [parts[x][:2] for x in row] for w, parts in windows.items() for k, row in enumerate(best_fit([x[2] for x in parts], 64))}
+        assert {r[0]: list(zip(r[1], r[2], strict=True)) for r in got} == real
+
+
 def test_packs_as_files(docs, empty, tmp_path):
     packs = pack_tokens(docs, VOCABULARY, public_tokenizers.PATTERN, row_tokens=64, window=2000)
     index = write_packs(packs, str(tmp_path / "out")).collect()
@@ -175,6 +194,7 @@ def test_packs_as_files(docs, empty, tmp_path):
 def test_packing_odd_rows(odd, empty):
     rows = pack_tokens(odd, VOCABULARY, public_tokenizers.PATTERN, row_tokens=4096).collect()
     of = lambda ids: sorted((d for r in rows for d in r.doc_ids), key=str) == sorted(ids, key=str)
+    assert rows[0].doc_ids[0] == 3  # the longest first
     assert of([1, 1, None, 3]) and pack_tokens(empty, VOCABULARY, public_tokenizers.PATTERN).count() == 0
 
 
@@ -628,6 +648,8 @@ def test_bpe_rows(docs, odd, empty):
         raw = (ROWS[r.doc_id][1] or "").encode()
         ids = np.array(REAL.encode_ordinary(raw.decode()), "<u4")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest())
+    long = CODEC.encode("the quick brown fox; " * 5_003)
+    assert CODEC.decode(long) == b"the quick brown fox; " * 5_003 and CODEC.decode(long[:4]) == b"the"
     assert bpe.encode_decode(odd, VOCABULARY, public_tokenizers.PATTERN).count() == 7
     assert bpe.encode_decode(empty, VOCABULARY, public_tokenizers.PATTERN).count() == 0
 

@@ -36,9 +36,9 @@ class Codec:
     """Encode and decode by ranks. Memos hold at most ``memo`` entries each; of a
     full one the later half goes (frequent words come early), so memory stays
     bounded whatever the words are. Strings of at most LEAF bytes are merged
-    directly, longer ones by halves."""
+    directly, longer ones by halves; RUN ids are decoded at once."""
 
-    LEAF = 3
+    LEAF, RUN = 3, 256
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 800_000):
         self.ranks, self.memo = ranks, memo
@@ -156,8 +156,13 @@ class Codec:
         return ids
 
     def decode(self, ids: bytes) -> bytes:
-        """Each id's bytes, concatenated: the monoid's other direction."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """Each id's bytes, concatenated up the tree: the monoid's other direction.
+        Leaves are runs of RUN ids; neighbours are joined until one is left."""
+        tokens = list(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        level = [b"".join(tokens[k : k + self.RUN]) for k in range(0, len(tokens), self.RUN)]
+        while len(level) > 1:
+            level = [b"".join(level[k : k + 2]) for k in range(0, len(level), 2)]
+        return level[0] if level else b""
 
 
 _codecs: dict[tuple, Codec] = {}

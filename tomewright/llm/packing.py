@@ -11,10 +11,11 @@ import pyarrow as pa
 import tiktoken
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from tomewright.llm.bpe import read_ranks
-from tomewright.llm.common import id_and_text
+from tomewright.llm.common import Shared, id_and_text, partitions
 
 
 class Rooms:
@@ -81,54 +82,83 @@ def pack_tokens(
     order, so joining the parts gives back all ids. Null and empty texts have no
     tokens and so stand in no row.
 
-    Each task packs for itself, whenever ``window`` tokens have gathered: memory
-    is bounded, and nothing is shuffled. pack_id is the task's number and a count.
-    So which documents share a row follows from how the input is split, but what
-    each document becomes does not. Null ids and repeated rows are packed like
-    others, a part for each row; an empty table gives no rows.
+    Documents go by id, null first, and by text hash where an id repeats. All
+    tokens before a document, divided by ``window``, give its window; each window
+    is packed for itself, so a task holds one window and one document at most.
+    Rows follow from the documents alone, not from how the input is split; equal
+    rows are packed like others, a part for each. pack_id is the window's number
+    and a count. Texts are shuffled once, by ranges, and encoded there; tokens
+    once, by windows. An empty table gives no rows.
     """
+    spark = docs.sparkSession
+    shared, parts_n = Shared(spark), partitions(spark)
     with open(vocabulary, "rb") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+        sent = spark.sparkContext.broadcast(f.read())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kind(ranks: dict[bytes, int]) -> str:
+        return "<u2" if max(ranks.values()) < 65_536 and row_tokens <= 65_536 else "<u4"
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids of each text with tokens, and how many this range has before it."""
         ranks = read_ranks(sent.value)
         coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        kind = "<u2" if max(ranks.values()) < 65_536 and row_tokens <= 65_536 else "<u4"
-        made = TaskContext.get().partitionId() << 33
+        part, total = TaskContext.get().partitionId(), 0
+        for b in batches:
+            at, before, n, raw = [], [], [], []
+            for i, x in enumerate(b.column(1)):
+                ids = coder.encode_ordinary(x.as_py() or "")
+                if ids:
+                    at.append(i)
+                    before.append(total)
+                    n.append(len(ids))
+                    raw.append(np.array(ids, kind(ranks)).tobytes())
+                    total += len(ids)
+            cols = [pa.array([part] * len(at), pa.int32()), b.column(0).take(pa.array(at, pa.int64())), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["part", "doc_id", "before", "n", "tokens"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of each window, from documents in the order of windows."""
+        width = kind(read_ranks(sent.value))
         held: list[tuple[int | None, int, np.ndarray]] = []
-        gathered = 0
+        now = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal made, gathered, held
             rows = best_fit([len(x[2]) for x in held], row_tokens)
             for k in range(0, len(rows), 500):
                 cols: list[list] = [[] for _ in range(7)]
-                for row in rows[k : k + 500]:
+                for made, row in enumerate(rows[k : k + 500], (now << 32) + k):
                     parts = [held[i] for i in row]
                     ends = np.cumsum([0, *(len(x[2]) for x in parts)])
-                    ids, at = np.zeros(row_tokens, kind), np.zeros(row_tokens, kind)
+                    ids, at = np.zeros(row_tokens, width), np.zeros(row_tokens, width)
                     ids[: ends[-1]] = np.concatenate([x[2] for x in parts])
                     at[: ends[-1]] = np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
                     for col, v in zip(cols, (made, int(ends[-1]), [x[0] for x in parts], [x[1] for x in parts], ends.tolist(), at.tobytes(), ids.tobytes()), strict=True):
                         col.append(v)
-                    made += 1
                 kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
-            held, gathered = [], 0
 
         for b in batches:
-            for doc, x in zip(b.column(0), b.column(1), strict=True):
-                ids = np.array(coder.encode_ordinary(x.as_py() or ""), kind)
-                for part, k in enumerate(range(0, len(ids), row_tokens)):
-                    held.append((doc.as_py(), part, ids[k : k + row_tokens]))
-                gathered += len(ids)
-                if gathered >= window:
+            for place, doc, raw in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if place != now and held:
                     yield from flush()
-        yield from flush()
+                    held = []
+                now = place
+                ids = np.frombuffer(raw, width)
+                held.extend((doc, part, ids[k : k + row_tokens]) for part, k in enumerate(range(0, len(ids), row_tokens)))
+        if held:
+            yield from flush()
 
     names = ["pack_id", "n_used", "doc_ids", "parts", "cu_seqlens", "positions", "ids"]
     schema = "pack_id long, n_used int, doc_ids array<long>, parts array<int>, cu_seqlens array<int>, positions binary, ids binary"
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+    order = ["doc_id", "text_hash", "tie"]  # equal rows are spread over ranges too, as the last key is unique
+    texts = id_and_text(docs, id_col, text_col).withColumns({"text_hash": F.xxhash64("text"), "tie": F.monotonically_increasing_id()})
+    dealt = texts.repartitionByRange(parts_n, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    coded = shared.keep(dealt.mapInArrow(encoded, "part int, doc_id long, before long, n long, tokens binary"))
+    ranges = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    start = coded.groupBy("part").agg(F.sum("n").alias("w")).select("part", F.coalesce(F.sum("w").over(ranges), F.lit(0)).alias("start"))
+    placed = coded.join(F.broadcast(start), "part").withColumn("before", F.col("before") + F.col("start"))
+    windows = placed.select(F.expr(f"before div {int(window)}").alias("window"), "before", "doc_id", "tokens")
+    return windows.repartition(parts_n, "window").sortWithinPartitions("window", "before").mapInArrow(packed, schema)
 
 
 def write_packs(packs: DataFrame, folder: str) -> DataFrame:
