@@ -102,7 +102,7 @@ def pack_tokens(
         """Ids of each text with tokens, and how many this range has before it."""
         ranks = read_ranks(sent.value)
         coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        part, total = TaskContext.get().partitionId(), 0
+        width, part, total = kind(ranks), TaskContext.get().partitionId(), 0
         for b in batches:
             at, before, n, raw = [], [], [], []
             for i, x in enumerate(b.column(1)):
@@ -111,7 +111,7 @@ def pack_tokens(
                     at.append(i)
                     before.append(total)
                     n.append(len(ids))
-                    raw.append(np.array(ids, kind(ranks)).tobytes())
+                    raw.append(np.array(ids, width).tobytes())
                     total += len(ids)
             cols = [pa.array([part] * len(at), pa.int32()), b.column(0).take(pa.array(at, pa.int64())), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["part", "doc_id", "before", "n", "tokens"])
