@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tomewright.functions import text
 from tomewright.functions.money import format_price, format_sum
 from tomewright.functions.parsing import component, gcd, parse_components, parse_level, parse_price, split_components
 from tomewright.functions.quantity import ACTION_UNITS, computed, distance, duration, least_quantity
@@ -96,3 +97,13 @@ def test_manifest(spark):
     again = {r.shorthand: r.tag for r in manifest(rows.orderBy(F.col("v").desc()), books).collect()}
     assert again["A"] == got["A"][1]
     assert index_json(m, "g").first()[0].startswith('{"g":{"A":{"title":"Alpha"')
+
+
+def test_first_separator_and_places(spark):
+    rows = [(1, " a : b: c "), (2, "plain\t"), (3, ""), (4, None), (5, "::")]
+    df = spark.createDataFrame(rows, "i int, s string").select("i", text.split_first(F.col("s"), ":").alias("x"))
+    assert [(r.i, r.x.left, r.x.right) for r in df.collect()] == [(1, "a", "b: c"), (2, "plain", None), (3, "", None), (4, None, None), (5, "", ":")]
+    rows = [(["b", None, "a", "b"],), ([],), (None,), (["c"],)]
+    is_b = lambda x: x == "b"
+    df = spark.createDataFrame(rows, "x array<string>").select(text.indices_where(F.col("x"), is_b), text.first_index(F.col("x"), is_b))
+    assert [tuple(r) for r in df.collect()] == [([0, 3], 0), ([], -1), (None, None), ([], -1)]

@@ -7,6 +7,7 @@ rows that lack the field.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -101,6 +102,25 @@ def occurrences(text: Column, needle: str) -> Column:
     return F.when(last >= 0, F.filter(F.sequence(F.lit(0).cast("long"), last.cast("long")), here)).otherwise(F.array().cast("array<bigint>"))
 
 
+def split_first(text: Column, separator: str) -> Column:
+    """``left`` and ``right`` of the first ``separator``, without the white space
+    around them; without a separator ``right`` is null."""
+    at = F.instr(text, separator)
+    bare = lambda x: F.regexp_replace(x, r"^[\s\x0B\x{85}\p{Z}]+|[\s\x0B\x{85}\p{Z}]+\z", "")
+    left = F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)
+    return F.struct(bare(left).alias("left"), F.when(at > 0, bare(F.substring(text, at + len(separator), F.length(text)))).alias("right"))
+
+
+def indices_where(items: Column, holds: Callable[[Column], Column]) -> Column:
+    """The places, from 0, of the items for which ``holds`` is true; null for a null array."""
+    return F.array_compact(F.transform(items, lambda x, i: F.when(holds(x), i)))
+
+
+def first_index(items: Column, holds: Callable[[Column], Column]) -> Column:
+    """The first of these places, -1 where there is none."""
+    return (F.array_position(F.transform(items, holds), True) - 1).cast("int")
+
+
 #: Characters and their entities.
 ENTITIES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"}
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.functions.levels import split_at_base
+from tomewright.functions.text import first_index, indices_where, split_first
 from tomewright.operators.pages import entry_pages
 from tomewright.operators.tables import material_rows, materials_of, read_rows, table_rows
 from tomewright.operators.shared import shared_folder
@@ -119,3 +120,23 @@ def text_sources(spark, sf_dir):
     documents, macro_files = read_sources(spark, sources_of(files, manifest))
     good, _ = entries(with_macros(documents, learned(macro_files)), "entry", silent="notanentry")
     return good.select(F.col("name").cast("long").alias("doc_id"), "book", "body")
+
+
+_BARE = r"^[\s\x0B\x{85}\p{Z}]+|[\s\x0B\x{85}\p{Z}]+\z"
+
+
+@query(f"""SELECT doc_id, regexp_replace(CASE WHEN place > 0 THEN left(text, place - 1) ELSE text END, '{_BARE}', '', 'g') AS head,
+ CASE WHEN place > 0 THEN regexp_replace(substr(text, place + 2), '{_BARE}', '', 'g') END AS tail FROM (SELECT doc_id, text, instr(text, '. ') AS place FROM documents)""")
+def first_sentence(spark, sf_dir):
+    """Each whole text at its first full stop before a space."""
+    halves = split_first(F.col("text"), ". ")
+    return table(spark, sf_dir, "documents").select("doc_id", halves["left"].alias("head"), halves["right"].alias("tail"))
+
+
+@query("""SELECT doc_id, list_filter(range(len(w)), lambda i: length(w[i + 1]) >= 9) AS places,
+ CASE WHEN w IS NOT NULL THEN coalesce(list_filter(range(len(w)), lambda i: length(w[i + 1]) >= 9)[1], -1) END::INT AS first_place
+ FROM (SELECT doc_id, string_split_regex(text, '[ \n]') AS w FROM documents)""")
+def long_word_places(spark, sf_dir):
+    """The places of the words of nine or more characters in each whole text."""
+    words, long = F.split("text", "[ \n]"), lambda w: F.length(w) >= 9
+    return table(spark, sf_dir, "documents").select("doc_id", indices_where(words, long).alias("places"), first_index(words, long).alias("first_place"))
