@@ -2,12 +2,13 @@ r"""Levels of braces and environments, against a plain scan."""
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tomewright.functions import parsing as p
-from tomewright.functions.levels import HIDDEN, base_level, split_at_base
+from tomewright.functions.levels import CUT, HIDDEN, base_level, split_at_base
 from tomewright.functions.text import find_window
 
 
@@ -77,3 +78,22 @@ def test_long_numbers_are_rejects(spark, digits):
     assert v(p.component(F.lit(f"{digits} [kg] of rope")))["number"] == (1111111111 if small else None)
     assert v(p.component(F.lit(f"rope ({digits} [m])")))["name"] == "rope"
     assert v(p.parse_price(F.lit("9223372036854775807 \\Ag"))) is None
+
+
+def test_plain_separators_need_no_fold(spark):
+    """Texts whose groups are closed and shallow are cut without the fold, others by it; both agree."""
+    rng = random.Random(4)
+    bits = ["a", "&", r"\&", r"\\", "{", "}", r"\{", r"\}", r"\begin{x}", r"\end{x}", "{b & c}", r"{d {e \\ f} &}", " ", CUT, "\\", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(2000)] + ["{a}" * 4000 + "&x", "{" + "{a}" * 60 + "}&x"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").repartition(4)
+    for separator in (r"(?<!\\)&", r"\\\\"):
+        for environments in (True, False):
+            ways = [split_at_base(F.col("t"), separator, environments, looks).alias(n) for n, looks in (("a", True), ("b", False))]
+            assert rows.select("t", *ways).where("not (a <=> b)").collect() == []
+
+
+def test_a_text_of_many_groups_takes_time_by_its_length(spark):
+    start = time.monotonic()
+    text = F.concat(F.lit("&"), F.repeat(F.lit("{a} & "), 6000))
+    assert spark.range(1).select(F.size(split_at_base(text, "&")).alias("n")).first().n == 6002
+    assert time.monotonic() - start < 20

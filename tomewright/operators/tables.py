@@ -21,23 +21,29 @@ from tomewright.operators.shared import written
 ARGUMENT = r"\s*\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
 
 
+def _found(text: Column, name: str, arguments: int, i: int) -> Column:
+    """Argument ``i`` of each use of a macro; only texts that hold its name are searched."""
+    pattern = rf"\\{name}(?![A-Za-z])\s*\*?" + ARGUMENT * arguments
+    none = F.array().cast("array<string>")
+    return F.when(~text.contains(f"\\{name}"), none).otherwise(F.regexp_extract_all(text, F.lit(pattern), F.lit(i)))
+
+
 def macro(text: Column, name: str, arguments: int = 1) -> Column:
     """An array for each use of a macro, with or without a star: its arguments."""
-    pattern = rf"\\{name}(?![A-Za-z])\s*\*?" + ARGUMENT * arguments
-    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)) for i in range(arguments)]
+    found = [_found(text, name, arguments, i + 1) for i in range(arguments)]
     return F.transform(F.arrays_zip(*[x.alias(f"a{i}") for i, x in enumerate(found)]), lambda z: F.array(*[z[f"a{i}"] for i in range(arguments)]))
 
 
 def once(text: Column, name: str) -> Column:
     """The argument of a macro's first use; null where it isn't used."""
-    return F.get(F.get(macro(text, name), F.lit(0)), F.lit(0))
+    return F.get(_found(text, name, 1, 1), F.lit(0))
 
 
 def table_rows(tables: DataFrame, body: str = "body") -> DataFrame:
     """A row for each row of each table, with its place, text and cells; written, as
     what reads them looks at the cells many times."""
-    rows = tables.select("*", F.posexplode(split_at_base(F.col(body), r"\\\\", environments=True)).alias("row", "text")).drop(body)
-    return written(rows.where(F.trim("text") != "").withColumn("cells", split_at_base(F.col("text"), r"(?<!\\)&", environments=True)))
+    rows = tables.select("*", F.posexplode(split_at_base(F.col(body), r"\\\\", environments=True, looks_at_braces=False)).alias("row", "text")).drop(body)
+    return written(rows.where(F.trim("text") != "").withColumn("cells", split_at_base(F.col("text"), r"(?<!\\)&", environments=True, looks_at_braces=False)))
 
 
 def _bare(text: Column) -> Column:
@@ -50,7 +56,7 @@ def read_rows(rows: DataFrame, table: str = "table_id") -> DataFrame:
     variants declared before them in their table. Carrying takes a window by table; a
     table is part of one document."""
     t = F.col("text")
-    names = F.transform(macro(t, "grMaterial"), lambda x: x[0])
+    names = _found(t, "grMaterial", 1, 1)
     declared = once(t, "grDeclareVariants")
     split = lambda x: F.transform(F.split(x, "/"), lambda y: F.trim(y))
     earlier = Window.partitionBy(table).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
