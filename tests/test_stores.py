@@ -5,6 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tomewright.operators import percolate as pc
+from tomewright.plans.search import Dialect
 from tomewright.sources.liststore import ListStore, members, read_lists
 from tomewright.sources.snapshot import current_index, read_snapshot, vacuum, write_snapshot
 from tomewright.sources.versions import MARKERS, Conflict, VersionedTable, latest, publish
@@ -111,3 +113,14 @@ def test_a_large_book_makes_several_files(spark, tmp_path):
     counts = sorted(sum(f.startswith("part") for f in v) for v in parts(tmp_path).values())
     assert counts[0] == 1 and 2 <= counts[1] <= 5
     assert read_snapshot(spark, path).count() == 1000
+
+
+def test_members_of_matched_classes(spark):
+    """What is prepared is added where it isn't matched; the pairs are not made distinct."""
+    rows = spark.createDataFrame([(1, "red"), (2, "blue"), (3, None), (4, "blue")], "id long, name string")
+    lists = spark.createDataFrame([("a", [[["red"]]]), ("b", [[["red"]]]), ("c", None)], "list string, query array<array<array<string>>>")
+    prepared = spark.createDataFrame([("a", "red"), ("a", "blue"), ("c", "red"), ("other", "blue")], "list string, name string")
+    d = Dialect(source=None)
+    want = sorted(map(tuple, members(rows, pc.percolate(rows, lists, d, "id"), prepared, "id").collect()))
+    assert sorted(map(tuple, members(rows, pc.matched(rows, lists, d, "id"), prepared, "id").collect())) == want
+    assert want == [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "other"), (4, "a"), (4, "other")]
