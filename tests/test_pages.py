@@ -1,6 +1,9 @@
 """Entry pages, good ones and each kind of reject."""
 
 from tomewright.operators.pages import entry_pages
+from tomewright.queries.documents import wiki_pages
+
+SF_DIR = "/root/testdata/sf0.001"
 
 GOOD = {
     "source": "<p>Source: Big Book / other</p>", "level": "<p><em>3rd-level evocation (ritual)</em></p>",
@@ -32,3 +35,7 @@ def test_entry_pages(spark):
     assert (b.level, b.school, b.reaction, b.upcast, b.stat_block, b.somatic, b.materials) == (0, "illusion", None, None, None, True, None)
     reasons = {r.page_id: r.reason for r in rejects.collect()}
     assert reasons == {**{k: k for k in bad}, "nothing": "bad page-content makeup", "null": "bad page-content makeup"}
+
+
+def test_pages_of_a_small_file_are_spread(spark):
+    assert wiki_pages(spark, SF_DIR).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,7 +9,7 @@ from tomewright.functions.levels import split_at_base
 from tomewright.functions.text import first_index, indices_where, split_first
 from tomewright.operators.pages import entry_pages
 from tomewright.operators.tables import material_rows, materials_of, read_rows, table_rows
-from tomewright.operators.shared import shared_folder
+from tomewright.operators.shared import partitions, shared_folder
 from tomewright.queries import query, table
 from tomewright.queries.costs import units
 from tomewright.sources.texts import entries, learned, read_sources, sources_of, with_macros
@@ -64,7 +64,9 @@ def level_aware_split(spark, sf_dir):
 
 
 def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as wiki pages, some of which break the layout in one place or another."""
+    """Parts as wiki pages, some of which break the layout in one place or another. The
+    parts are spread first: a part is some bytes of a file, so few tasks would read it,
+    and its page is some hundreds and takes long to parse."""
     k, size = F.col("p_partkey"), F.col("p_size")
     say = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
     n, odd = size.cast("string"), k % 23
@@ -79,7 +81,8 @@ def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "</p><p>About <b>", F.col("p_name"), "</b></p>", F.when(size % 3 == 1, say("<ul><li>", n, "</li></ul>")).otherwise(""), F.when(size % 6 == 0, say("<p><strong>At Higher Levels.</strong> more ", n, "</p>")).otherwise(""),
         F.when(odd == 6, "").otherwise("<p><strong>Spell Lists.</strong> Bard, Mage</p>"), F.when(size % 7 == 0, say("<table><tr><td>", n, "</td></tr></table>")).otherwise(""), F.when(odd == 7, "<p>end</p>").otherwise("<div>end</div>"), "</div></body></html>",
     )
-    return table(spark, sf_dir, "part").select(k.alias("page_id"), html.alias("html"))
+    each = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size").repartition(partitions(spark), "p_partkey")
+    return each.select(k.alias("page_id"), html.alias("html"))
 
 
 @query("""SELECT p_partkey AS page_id, CASE WHEN p_partkey % 23 = 3 THEN '' ELSE 'Book ' END || p_brand AS book, CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size END::INT AS level, CASE WHEN p_size % 4 = 0 THEN 'illusion' ELSE 'evocation' END AS school,
